@@ -79,7 +79,7 @@ def measures(df: DataFrame, column: str = "text") -> DataFrame:
     def of(words: Column) -> Column:
         rows = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
         n = F.size(words)
-        per_word = lambda x: F.coalesce(x / n, F.lit(0.0))
+        share = lambda x, of_: F.coalesce(F.try_divide(x, of_), F.lit(0.0))
         chars = F.length(F.array_join(words, ""))
         symbols = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))
         stops = F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))
@@ -92,12 +92,12 @@ def measures(df: DataFrame, column: str = "text") -> DataFrame:
                 symbols.cast("long").alias("n_symbols"),
                 (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 repeat_words(words).alias("n_repeat_words"),
-                F.coalesce(chars / n, F.lit(0.0)).alias("mean_word"),
-                per_word(symbols).alias("symbol_ratio"),
-                per_word(F.length(text) - F.length(F.regexp_replace(text, "!", ""))).alias("shout_ratio"),
-                per_word(stops).alias("stop_ratio"),
-                F.coalesce((F.size(x) - F.size(F.array_distinct(x))) / F.size(x), F.lit(0.0)).alias("dup_line_ratio"),
-                per_word(echoes).alias("echo_ratio"),
+                share(chars, n).alias("mean_word"),
+                share(symbols, n).alias("symbol_ratio"),
+                share(F.length(text) - F.length(F.regexp_replace(text, "!", "")), n).alias("shout_ratio"),
+                share(stops, n).alias("stop_ratio"),
+                share(F.size(x) - F.size(F.array_distinct(x)), F.size(x)).alias("dup_line_ratio"),
+                share(echoes, n).alias("echo_ratio"),
             ),
         )
 
