@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charta.llm.wordhash import portions
+
 #: Lines in a window; the share of the densest window that a region must reach on pages without article or main.
 WINDOW, SHARE = 3, 0.2
 
@@ -145,7 +147,7 @@ def extract(pages: DataFrame) -> DataFrame:
     at = kept.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, at)):
             texts = [main_text(x) for x in batch.column(at).to_pylist()]
             rest = [(n, c) for i, (n, c) in enumerate(zip(kept, batch.columns, strict=True)) if i != at]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*(n for n, _ in rest), "text", "n_chars"])

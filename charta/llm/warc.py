@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charta.llm.workdir import written
+from charta.llm.wordhash import portions
 
 #: Bytes of a block in one record, of a chunk in the transfer framing, and rows in one archive.
 SEGMENT, CHUNK, ROWS = 65536, 16384, 4000
@@ -114,7 +114,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for batch in batches:
+        for batch in (x for b in batches for x in portions(b, 2)):
             out = []
             for page_id, url, html, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at += 1
@@ -177,7 +177,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for b in batches for x in portions(b, 9)):
         rows = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
         out, faults, sums, sizes = [], [], [], []
         for kind, want, length, total, last, count, block in zip(rows["type"], rows["digest"], rows["length"], rows["total"], rows["last"], rows["count"], rows["block"], strict=True):

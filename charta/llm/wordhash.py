@@ -74,6 +74,19 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def portions(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of whole rows of about ``most`` bytes in its column ``at``, so that what is made of it stays small."""
+    column = batch.column(at)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sums = np.cumsum(sizes)
+    row = 0
+    while row < batch.num_rows:
+        done = int(sums[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(sums, done + most, "right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of words before each text (with the end)."""
     inside = _IN_WORD[data]
