@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from charta.functions import text as T
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
 from charta.plans.fixtures import table, values
-from charta.sources import connectors, registry
+from charta.sources import connectors, fetch, registry
 from charta.sources.tables import load
 from charta.streaming import windows
 
@@ -128,6 +128,44 @@ def wrapper_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, args array<string>").select("n", F.array_join(registry.wrapped(F.col("args")), " ").alias("handed"))
 
 
+# what connectors select
+
+_FIRST = "string_split(text, chr(10))[1]"
+
+
+@_query(f"SELECT doc_id, lang FROM documents WHERE contains(translate(lower({_FIRST}), '{T.ACCENTED}', '{T.PLAIN}'), 'eaux')")
+def fetch_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.by_term(load(spark, sf_dir, "documents"), "eaux").select("doc_id", "lang")
+
+
+@_query(f"SELECT doc_id, lang FROM documents WHERE lang = 'en' AND regexp_replace(regexp_replace(replace(translate(lower({_FIRST}), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = 'the_and_attion_to_thanedble_the_anea_eriner_thanea'")
+def fetch_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.by_title(load(spark, sf_dir, "documents"), "The and attion to thanedble the, anea: Eriner thanea", "en").select("doc_id", "lang")
+
+
+@_query("SELECT doc_id, source, lang FROM documents WHERE doc_id = 43")
+def fetch_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.by_id(load(spark, sf_dir, "documents"), "doc_id", 43).select("doc_id", "source", "lang")
+
+
+@_query(r"SELECT page_id, url FROM pages WHERE regexp_extract(url, '://([^/?#]*)', 1) = 'www.ththea.example.com' AND regexp_extract(url, '[?&]ref=([^&#]*)', 1) = 'x'")
+def fetch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.search(load(spark, sf_dir, "pages"), "www.ththea.example.com", ref="x").select("page_id", "url")
+
+
+@_query("WITH w AS (SELECT url FROM pages WHERE page_id % 7 = 0 UNION SELECT 'http://nowhere.example/') SELECT w.url, page_id, length(html) AS n_chars FROM w LEFT JOIN pages USING (url)")
+def fetch_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    wanted = pages.filter("page_id % 7 = 0").select("url").unionByName(spark.createDataFrame([("http://nowhere.example/",)], "url string"))
+    return fetch.contents(pages, wanted).select("url", "page_id", F.length("html").cast("long").alias("n_chars"))
+
+
+@_query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS ordinal FROM documents WHERE source IN ('src1', 'src7')")
+def fetch_vote_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = spark.createDataFrame([("src1",), ("src7",), ("none",)], "source string")
+    return fetch.sources_of(F.broadcast(votes), load(spark, sf_dir, "documents").select("source", "doc_id"), "source")
+
+
 # normalisation
 
 _HTML = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
