@@ -7,11 +7,13 @@ of at least the threshold are found, none is missed:
 2. Some links are found early: documents with equal min-hash pairs are compared with one centre. What
    they link needs no further comparison.
 3. Two linked sets share one of their first ``p = n - ceil(t n) + 1`` shingles under any common
-   order. The order is by fingerprint, with the shingles of long lists last. So only members of one
-   shingle's list, with sizes that allow a link, can be linked.
-4. In each list a signature tree is built: leaves of documents, nodes with OR-combined bitmaps and
-   size ranges. A dual traversal drops node pairs whose largest possible overlap is too small, then
-   document pairs by the same bound. Lists longer than a block are dealt as pairs of blocks.
+   order, and ``m + 1`` of their first ``p + m``. By fingerprints as order, documents that share fewer
+   with documents they are not yet linked to are done.
+4. For the others the order puts the shingles of long lists last, so that only members of one
+   shingle's list, with sizes that allow a link, can be linked. In each list a signature tree is
+   built: leaves of documents, nodes with OR-combined bitmaps and size ranges. A dual traversal drops
+   node pairs whose largest possible overlap is too small, then document pairs by the same bound.
+   Lists longer than a block are dealt as pairs of blocks.
 5. The pairs that are left are compared in full, and links joined to components.
 """
 
@@ -32,6 +34,8 @@ from charta.llm.workdir import written
 
 #: Early rounds; shingles kept beyond the prefix; lists longer than LONG order last; rows of a block.
 ROUNDS, MARGIN, LONG, BLOCK, LEAF = 4, 16, 256, 1024, 48
+#: Ids up to this number (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -39,8 +43,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _bits(n: int) -> int:
-    """Bitmap size: a power of two, 64 or more, 8 bits a shingle or more."""
-    return 64 << max(0, math.ceil(math.log2(max(1.0, n / 8.0))))
+    """Bitmap size: a power of two, 64 or more; 8 bits a shingle up to 2048, then 2."""
+
+    def upto(x: float) -> int:
+        return 64 << max(0, math.ceil(math.log2(max(1.0, x / 64.0))))
+
+    return min(upto(8 * n), max(2048, upto(2 * n)))
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -113,33 +121,49 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator
                 yield i[fit], j[fit]
 
 
-def _sketches(k: int, percent: int, whole: bool):
+def _sketches(k: int, percent: int):
+    salts = np.random.default_rng(11).integers(0, 1 << 63, (ROUNDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = np.random.default_rng(11).integers(0, 1 << 63, (ROUNDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            ids = batch.column(0)
             rows: list[tuple] = []
             for _, grams in shingle_sets(batch.column(1), k):
                 n = len(grams)
                 if not n:
-                    rows.append((0, None, None, None, []))
+                    rows.append((0, None, None, []))
                     continue
                 keys = []
                 for pair in salts:
                     least = np.array([mix(grams * salt).min() for salt in pair])
                     keys.append(int.from_bytes(hashlib.blake2b(least.tobytes(), digest_size=8).digest(), "little", signed=True))
-                first = grams if whole else grams[: prefix_length(n, percent) + MARGIN]
-                rows.append((n, hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), keys, bitmap(grams), first.view(np.int64)))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+                rows.append((n, hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), keys, grams[: prefix_length(n, percent) + MARGIN].view(np.int64)))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "keys", "bits", "toks"],
+                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys", "toks"]
             )
 
     return run
 
 
-_SKETCH = "doc_id long, n long, cls binary, keys array<long>, bits binary, toks array<long>"
+_SKETCH = "doc_id long, n long, cls binary, keys array<long>, toks array<long>"
+
+
+def _whole(k: int):
+    """All shingles and the bitmap of each text, with its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls, toks, bits = [], [], []
+            for _, grams in shingle_sets(batch.column(1), k):
+                cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                toks.append(grams.view(np.int64))
+                bits.append(bitmap(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc", "cls", "toks", "bits"])
+
+    return run
+
+
+_WHOLE = "doc long, cls binary, toks array<long>, bits binary"
 
 
 def _sets(k: int):
@@ -169,10 +193,17 @@ def _compare(percent: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids`` (doc_id); few ids are brought to the texts, which then stay where they are."""
+    ids = written(ids.distinct(), "ids")
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, compared in full; only the sets of documents in pairs are built and moved."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, grams binary"), "sets")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = written(_texts(docs, needed).mapInArrow(_sets(k), "doc_id long, grams binary"), "sets")
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_compare(percent), "a long, b long, shared long, united long").distinct()
 
@@ -236,16 +267,14 @@ def _lists(percent: int):
     return run
 
 
-def _prefix(rows: DataFrame, counts: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the rows (doc, cls, pos, tok, p, e, n ...) in lists of several labels, those in the prefix when shingles in ``long`` order last; and the documents whose shingles on hand don't decide that."""
+def _prefix(rows: DataFrame, counts: DataFrame, long: DataFrame) -> DataFrame:
+    """Of the rows (doc, cls, n, label, p, e, pos, tok) in lists of several labels, those in the prefix when shingles in ``long`` order last; ``open`` marks documents whose e shingles on hand don't decide that."""
     rows = rows.join(counts.select("tok"), "tok").join(long.select("tok", F.lit(1).alias("hot")), "tok", "left").fillna(0, ["hot"])
     doc = Window.partitionBy("doc", "cls")
     rows = rows.withColumn("hots", F.sum("hot").over(doc)).withColumn("before", F.sum("hot").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    open_ = (F.col("e") < F.col("n")) & (F.col("e") - F.col("hots") < F.col("p"))
     at = F.when(F.col("hot") == 0, F.col("pos") - F.col("before")).otherwise(F.col("e") - F.col("hots") + F.col("before"))
-    rows = rows.withColumn("open", open_).withColumn("at", at)
-    rows = written(rows.filter(F.col("open") | ((F.col("at") < F.col("p")) & ~((F.col("hot") == 1) & (F.col("e") < F.col("n"))))), "prefix")
-    return rows.filter("not open"), rows.filter("open").select("doc").distinct()
+    rows = rows.withColumn("open", (F.col("e") < F.col("n")) & (F.col("e") - F.col("hots") < F.col("p")))
+    return written(rows.filter(F.col("open") | ((at < F.col("p")) & ~((F.col("hot") == 1) & (F.col("e") < F.col("n"))))), "prefix")
 
 
 def _counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -270,41 +299,51 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     link with nothing; their component_id is null. An empty table gives empty results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketches(k, percent, False), _SKETCH), "sketch")
+    sketch = written(docs.mapInArrow(_sketches(k, percent), _SKETCH), "sketch")
     known = sketch.filter("doc_id is not null and n > 0")
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     copies = known.select("doc_id", "cls").join(classes, "cls").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = written(known.join(classes.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"]), "reps")
+    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
+    reps = written(reps.withColumnRenamed("doc_id", "doc"), "reps")
 
-    stars = reps.select("doc_id", "n", F.posexplode("keys").alias("round", "key"))
-    centres = stars.groupBy("round", "key").agg(F.min(F.struct("doc_id", "n")).alias("c"))
+    stars = reps.select("doc", "n", F.posexplode("keys").alias("round", "key"))
+    centres = stars.groupBy("round", "key").agg(F.min(F.struct("doc", "n")).alias("c"))
     early = (
         stars.join(centres, ["round", "key"])
-        .filter((F.col("c.doc_id") < F.col("doc_id")) & (100 * F.col("n") >= percent * F.col("c.n")) & (100 * F.col("c.n") >= percent * F.col("n")))
-        .select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        .filter((F.col("c.doc") < F.col("doc")) & (100 * F.col("n") >= percent * F.col("c.n")) & (100 * F.col("c.n") >= percent * F.col("n")))
+        .select(F.col("c.doc").alias("a"), F.col("doc").alias("b"))
         .distinct()
     )
     early = written(_linked(docs, written(early, "early"), k, percent), "links")
     to = early.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label"))
     up = to.select(F.col("doc").alias("label"), F.col("label").alias("above"))
     to = written(to.join(up, "label", "left").select("doc", F.coalesce("above", "label").alias("label")), "labels")
+    narrow = reps.select("doc", "cls", "n", "toks").join(to, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
-    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-
-    def tokens(found: DataFrame) -> DataFrame:
-        found = found.withColumnRenamed("doc_id", "doc").join(to, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    def rows_of(found: DataFrame) -> DataFrame:
+        p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
         return found.select("doc", "cls", "n", "label", p.alias("p"), F.size("toks").alias("e"), F.posexplode("toks").alias("pos", "tok"))
 
-    rows = written(tokens(reps.select("doc_id", "cls", "n", "toks")), "tokens")
+    for _ in range(2):
+        # both of a pair share MARGIN + 1 shingles on hand, or t * t * n if a set has fewer
+        least = F.least(F.lit(MARGIN + 1), F.floor(F.lit(percent * percent) * F.col("n") / 10_000))
+        flat = narrow.select(F.explode("toks").alias("tok"), "doc", "label", F.hash("cls").alias("v"), least.cast("int").alias("least"))
+        counts = written(_counts(flat, "tok"), "counts")
+        shared = flat.drop("label").join(counts, "tok", "left_semi").groupBy("doc", "v", "least").agg(F.count("*").alias("shared"))
+        shared = written(shared.filter("shared >= least").select("doc", "v"), "sharing")
+        narrow = written(narrow.withColumn("v", F.hash("cls")).join(shared, ["doc", "v"], "left_semi").drop("v"), "narrow")
+
+    rows = rows_of(narrow)
     counts = written(_counts(rows, "tok"), "counts")
     long = counts.filter(F.col("len") > LONG)
-    chosen, undecided = _prefix(rows, counts, long)
+    chosen = _prefix(rows, counts, long)
+    whole = written(_texts(docs, narrow.select(F.col("doc").alias("doc_id"))).mapInArrow(_whole(k), _WHOLE).dropDuplicates(["doc", "cls"]), "whole")
+    undecided = chosen.filter("open").select("doc").distinct()
     if undecided.limit(1).count():
         # these documents are told by all of their shingles; what they bring may make further lists
-        again = docs.withColumnRenamed("doc_id", "doc").join(undecided, "doc", "left_semi").withColumnRenamed("doc", "doc_id")
-        full = again.mapInArrow(_sketches(k, percent, True), _SKETCH).select("doc_id", "cls", "n", "toks").join(reps.select("doc_id", "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
-        rows = written(rows.join(undecided, "doc", "left_anti").unionByName(tokens(full)), "tokens")
-        chosen, _ = _prefix(rows, written(_counts(rows, "tok"), "counts"), long)
+        full = narrow.drop("toks").join(undecided, "doc", "left_semi").join(whole.select("doc", "cls", "toks"), ["doc", "cls"])
+        rows = rows_of(narrow.join(undecided, "doc", "left_anti").unionByName(full.select(*narrow.columns)))
+        chosen = _prefix(rows, written(_counts(rows, "tok"), "counts"), long)
 
     # sizes that allow a link are in the same class or in neighbouring ones
     own = F.floor(F.log("n") / F.lit(-math.log(percent / 100.0)) + 1e-9).cast("int")
@@ -313,7 +352,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     chosen = chosen.join(lists, ["tok", "sk"])
     side = F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int")
     chosen = chosen.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
-    chosen = chosen.join(reps.select(F.col("doc_id").alias("doc"), "cls", "bits"), ["doc", "cls"])
+    chosen = chosen.join(whole.select("doc", "cls", "bits"), ["doc", "cls"])
     ordered = chosen.select("tok", "sk", "bi", "bj", "side", "doc", "n", "label", "k", "bits").repartition("tok", "sk", "bi", "bj").sortWithinPartitions("tok", "sk", "bi", "bj")
     pairs = written(ordered.mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
     links = early.unionByName(written(_linked(docs, pairs, k, percent), "links")).distinct()
