@@ -6,14 +6,14 @@ of at least the threshold are found, none is missed:
 1. Equal sets form one class; its smallest document stands for it.
 2. Some links are found early: documents with equal min-hash pairs are compared with one centre. What
    they link needs no further comparison.
-3. Two linked sets share one of their first ``p = n - ceil(t n) + 1`` shingles under any common
-   order, and ``m + 1`` of their first ``p + m``. By fingerprints as order, documents that share fewer
-   with documents they are not yet linked to are done.
-4. For the others the order puts the shingles of long lists last, so that only members of one
-   shingle's list, with sizes that allow a link, can be linked. In each list a signature tree is
-   built: leaves of documents, nodes with OR-combined bitmaps and size ranges. A dual traversal drops
-   node pairs whose largest possible overlap is too small, then document pairs by the same bound.
-   Lists longer than a block are dealt as pairs of blocks.
+3. With p = n - ceil(t n) + 1, two linked sets share m + 1 of their first p + m shingles in the order
+   of fingerprints. Documents that share fewer, with documents of a size that allows a link and not
+   linked to them yet, are done. The others leave out the m shingles with the longest lists: the
+   shared shingle with the shortest list is left in both. So lists of what many documents have
+   stay short, and members of one list alone can be linked.
+4. In each list a signature tree is built: leaves of documents, nodes with OR-combined bitmaps and
+   size ranges. A dual traversal drops node pairs whose largest possible overlap is too small, then
+   document pairs by the same bound. Lists longer than a block are dealt as pairs of blocks.
 5. The pairs that are left are compared in full, and links joined to components.
 """
 
@@ -32,8 +32,8 @@ from charta.llm.components import components
 from charta.llm.wordhash import mix, shingle_sets
 from charta.llm.workdir import written
 
-#: Early rounds; shingles kept beyond the prefix; lists longer than LONG order last; rows of a block.
-ROUNDS, MARGIN, LONG, BLOCK, LEAF = 4, 16, 256, 1024, 48
+#: Early rounds; m, shingles kept beyond the prefix; rows of a block and of a leaf. None limits what is found.
+ROUNDS, MARGIN, BLOCK, LEAF = 4, 16, 1024, 48
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -148,24 +148,20 @@ def _sketches(k: int, percent: int):
 _SKETCH = "doc_id long, n long, cls binary, keys array<long>, toks array<long>"
 
 
-def _whole(k: int):
-    """All shingles and the bitmap of each text, with its class."""
+def _bitmaps(k: int):
+    """The bitmap of each text, with its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, toks, bits = [], [], []
+            cls, bits = [], []
             for _, grams in shingle_sets(batch.column(1), k):
                 cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                toks.append(grams.view(np.int64))
                 bits.append(bitmap(grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc", "cls", "toks", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(bits, pa.binary())], names=["doc", "cls", "bits"])
 
     return run
 
 
-_WHOLE = "doc long, cls binary, toks array<long>, bits binary"
-
-
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,16 +263,6 @@ def _lists(percent: int):
     return run
 
 
-def _prefix(rows: DataFrame, counts: DataFrame, long: DataFrame) -> DataFrame:
-    """Of the rows (doc, cls, n, label, p, e, pos, tok) in lists of several labels, those in the prefix when shingles in ``long`` order last; ``open`` marks documents whose e shingles on hand don't decide that."""
-    rows = rows.join(counts.select("tok"), "tok").join(long.select("tok", F.lit(1).alias("hot")), "tok", "left").fillna(0, ["hot"])
-    doc = Window.partitionBy("doc", "cls")
-    rows = rows.withColumn("hots", F.sum("hot").over(doc)).withColumn("before", F.sum("hot").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    at = F.when(F.col("hot") == 0, F.col("pos") - F.col("before")).otherwise(F.col("e") - F.col("hots") + F.col("before"))
-    rows = rows.withColumn("open", (F.col("e") < F.col("n")) & (F.col("e") - F.col("hots") < F.col("p")))
-    return written(rows.filter(F.col("open") | ((at < F.col("p")) & ~((F.col("hot") == 1) & (F.col("e") < F.col("n"))))), "prefix")
-
-
 def _counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Lists with documents of several labels, and their length."""
     return rows.groupBy(*keys).agg(F.count("*").alias("len"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").drop("lo", "hi")
@@ -320,39 +306,32 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     to = written(to.join(up, "label", "left").select("doc", F.coalesce("above", "label").alias("label")), "labels")
     narrow = reps.select("doc", "cls", "n", "toks").join(to, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
 
-    def rows_of(found: DataFrame) -> DataFrame:
-        p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-        return found.select("doc", "cls", "n", "label", p.alias("p"), F.size("toks").alias("e"), F.posexplode("toks").alias("pos", "tok"))
+    # both of a pair share MARGIN + 1 shingles on hand, or t * t * n if a set has fewer
+    least = F.least(F.lit(MARGIN + 1), F.floor(F.lit(percent * percent) * F.col("n") / 10_000)).cast("int")
+    narrow = narrow.withColumns({"least": least, "v": F.hash("cls")})
+    flat = narrow.select(F.explode("toks").alias("tok"), "doc", "label", "v", "least")
+    shared = flat.drop("label").join(written(_counts(flat, "tok"), "counts"), "tok", "left_semi").groupBy("doc", "v", "least").agg(F.count("*").alias("shared"))
+    narrow = written(narrow.join(written(shared.filter("shared >= least").select("doc", "v"), "sharing"), ["doc", "v"], "left_semi"), "narrow")
 
-    for _ in range(2):
-        # both of a pair share MARGIN + 1 shingles on hand, or t * t * n if a set has fewer
-        least = F.least(F.lit(MARGIN + 1), F.floor(F.lit(percent * percent) * F.col("n") / 10_000))
-        flat = narrow.select(F.explode("toks").alias("tok"), "doc", "label", F.hash("cls").alias("v"), least.cast("int").alias("least"))
-        counts = written(_counts(flat, "tok"), "counts")
-        shared = flat.drop("label").join(counts, "tok", "left_semi").groupBy("doc", "v", "least").agg(F.count("*").alias("shared"))
-        shared = written(shared.filter("shared >= least").select("doc", "v"), "sharing")
-        narrow = written(narrow.withColumn("v", F.hash("cls")).join(shared, ["doc", "v"], "left_semi").drop("v"), "narrow")
-
-    rows = rows_of(narrow)
-    counts = written(_counts(rows, "tok"), "counts")
-    long = counts.filter(F.col("len") > LONG)
-    chosen = _prefix(rows, counts, long)
-    whole = written(_texts(docs, narrow.select(F.col("doc").alias("doc_id"))).mapInArrow(_whole(k), _WHOLE).dropDuplicates(["doc", "cls"]), "whole")
-    undecided = chosen.filter("open").select("doc").distinct()
-    if undecided.limit(1).count():
-        # these documents are told by all of their shingles; what they bring may make further lists
-        full = narrow.drop("toks").join(undecided, "doc", "left_semi").join(whole.select("doc", "cls", "toks"), ["doc", "cls"])
-        rows = rows_of(narrow.join(undecided, "doc", "left_anti").unionByName(full.select(*narrow.columns)))
-        chosen = _prefix(rows, written(_counts(rows, "tok"), "counts"), long)
-
-    # sizes that allow a link are in the same class or in neighbouring ones
+    # the same by size: sizes that allow a link are in the same class or in neighbouring ones
     own = F.floor(F.log("n") / F.lit(-math.log(percent / 100.0)) + 1e-9).cast("int")
-    chosen = chosen.select("tok", "doc", "cls", "n", "label", own.alias("k")).withColumn("sk", F.explode(F.array("k", F.col("k") + 1)))
+    narrow = narrow.select("doc", "cls", "n", "label", "least", "toks", own.alias("k")).withColumn("sk", F.explode(F.array("k", F.col("k") + 1)))
+    for _ in range(2):
+        flat = narrow.select("doc", "cls", "label", "least", "sk", F.explode("toks").alias("tok"))
+        counts = written(_counts(flat, "tok", "sk"), "counts")
+        flat = written(flat.select("doc", "cls", "least", "sk", "tok").join(counts, ["tok", "sk"]), "shared")
+        enough = flat.groupBy("doc", "cls", "sk", "least").agg(F.count("*").alias("shared")).filter("shared >= least").select("doc", "cls", "sk")
+        narrow = written(narrow.join(enough, ["doc", "cls", "sk"], "left_semi"), "narrow")
+    place = F.row_number().over(Window.partitionBy("doc", "cls", "sk").orderBy(F.desc("len"), "tok"))
+    chosen = flat.withColumn("place", place).filter(F.col("place") >= F.col("least")).select("doc", "cls", "sk", "tok")
+    chosen = chosen.join(narrow.drop("toks", "least"), ["doc", "cls", "sk"])
+
+    bits = written(_texts(docs, narrow.select(F.col("doc").alias("doc_id"))).mapInArrow(_bitmaps(k), "doc long, cls binary, bits binary").dropDuplicates(["doc", "cls"]), "bitmaps")
     lists = _counts(chosen, "tok", "sk").withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
     chosen = chosen.join(lists, ["tok", "sk"])
     side = F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int")
     chosen = chosen.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
-    chosen = chosen.join(whole.select("doc", "cls", "bits"), ["doc", "cls"])
+    chosen = chosen.join(bits, ["doc", "cls"])
     ordered = chosen.select("tok", "sk", "bi", "bj", "side", "doc", "n", "label", "k", "bits").repartition("tok", "sk", "bi", "bj").sortWithinPartitions("tok", "sk", "bi", "bj")
     pairs = written(ordered.mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
     links = early.unionByName(written(_linked(docs, pairs, k, percent), "links")).distinct()

@@ -46,9 +46,9 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("k, percent, long, block", [(4, 85, 256, 1024), (3, 80, 4, 8)])
-def test_equals_brute_force(docs_of, monkeypatch, k, percent, long, block):
-    monkeypatch.setattr(J, "LONG", long)
+@pytest.mark.parametrize("k, percent, rounds, block", [(4, 85, 4, 1024), (3, 80, 0, 8)])
+def test_equals_brute_force(docs_of, monkeypatch, k, percent, rounds, block):
+    monkeypatch.setattr(J, "ROUNDS", rounds)
     monkeypatch.setattr(J, "BLOCK", block)
     rows = corpus(120, k)
     found, links = J.similar(docs_of([(i, t, "s") for i, t in rows]), k, percent)
