@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charta.llm.wordhash import chunks
+from charta.llm.wordhash import chunks, portions
 
 # Classes of code points. QUOTE1 and QUOTE2: an apostrophe that a contraction of one or two letters
 # follows. GLUE: a space before a sign that is no space; LONE: other white space there.
@@ -154,7 +154,7 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class PieceCache:
     """piece -> its ids as little-endian unsigned 32-bit integers, of a bounded number of pieces; the half that was filled earlier goes when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], size: int = 1 << 19) -> None:
+    def __init__(self, ranks: dict[bytes, int], size: int = 1 << 18) -> None:
         self.ranks, self.size, self.new, self.old = ranks, size // 2, {}, {}
         self.merger = Merger(ranks)
 
@@ -291,8 +291,44 @@ def merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Vocabulary file: a line for each token, base64 of its bytes and its rank."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    with open(path, "rb") as file:
+        return _ranks(file.read())
+
+
+def _ranks(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line.strip())}
+
+
+class Coder:
+    """A vocabulary with what encoding and decoding look up."""
+
+    def __init__(self, raw: bytes) -> None:
+        ranks = _ranks(raw)
+        self.cache = PieceCache(ranks)
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        for rank, token in self.tokens.items():
+            self.length[rank] = len(token)
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_latest: tuple[bytes, Coder] | None = None
+
+
+def _coder(raw: bytes) -> Coder:
+    """The coder of a vocabulary file; a worker keeps the one that it used last, with its cache."""
+    global _latest
+    if _latest is None or _latest[0] != raw:
+        _latest = (raw, Coder(raw))
+    return _latest[1]
+
+
+def _shared(df: DataFrame, path: str):  # noqa: ANN202
+    """The file, read by the driver; its size does not depend on the data."""
+    with open(path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
 
 
 def encode_column(column: pa.Array, cache: PieceCache) -> Iterator[bytes]:
@@ -316,44 +352,44 @@ def encode_column(column: pa.Array, cache: PieceCache) -> Iterator[bytes]:
             yield b"".join(ids[a:z])
 
 
-def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, column: str = "text", decoded: bool = False, without_text: bool = False) -> DataFrame:
     """``df`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``ends`` (the same form: the byte at which each token ends).
 
     Every match of the pattern is encoded separately; there are no special tokens. A null or empty
-    text gives empty ids. ``vocabulary``: path of a file of ranks, read by the driver; its table,
-    whose size does not depend on the data, is broadcast. Columns of ``df`` named ids or ends are
-    replaced. Bytes that are no UTF-8 count as U+FFFD.
+    text gives empty ids. ``vocabulary``: path of a file of ranks, read by the driver and broadcast.
+    decoded: the ids are decoded again into ``decoded`` (binary), in the same pass. without_text: the
+    text column is left out. Columns of ``df`` named like a new one are replaced. Bytes that are no
+    UTF-8 count as U+FFFD.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    kept = [c for c in df.columns if c not in ("ids", "ends")]
-    schema = df.select(*kept).withColumns({"ids": F.lit(b""), "ends": F.lit(b"")}).schema
+    new = ["ids", "ends", *["decoded"] * decoded]
+    kept = [c for c in df.columns if c not in new]
     at = kept.index(column)
+    out = [c for c in kept if c != column or not without_text]
+    schema = df.select(*out).withColumns({c: F.lit(b"") for c in new}).schema
+    shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(shared.value)
-        length = np.zeros(max(cache.ranks.values()) + 1, np.int64)
-        for token, rank in cache.ranks.items():
-            length[rank] = len(token)
-        for batch in batches:
-            ids = list(encode_column(batch.column(at), cache))
-            ends = [np.cumsum(length[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(ends, pa.binary())], names=[*kept, "ids", "ends"])
+        coder = _coder(shared.value)
+        for batch in (x for b in batches for x in portions(b, at, 4 << 20)):
+            ids = list(encode_column(batch.column(at), coder.cache))
+            ends = [np.cumsum(coder.length[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
+            made = [ids, ends, *[[coder.decode(x) for x in ids]] * decoded]
+            yield pa.RecordBatch.from_arrays([*(batch.column(kept.index(c)) for c in out), *(pa.array(x, pa.binary()) for x in made)], names=[*out, *new])
 
     return df.select(*kept).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
     """``df`` with ``decoded`` (binary): the bytes of the packed ids in ``column``; null ids give null, ids outside the vocabulary fail."""
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     kept = [c for c in df.columns if c != "decoded"]
     schema = df.select(*kept).withColumn("decoded", F.lit(b"")).schema
     at = kept.index(column)
+    shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in shared.value.items()}
-        for batch in batches:
-            out = [None if x is None else b"".join([tokens[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column(at).to_pylist()]
+        coder = _coder(shared.value)
+        for batch in (x for b in batches for x in portions(b, at, 4 << 20)):
+            out = [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
     return df.select(*kept).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) with their number."""
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), without_text=True)
     return out.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
 
 

@@ -52,6 +52,8 @@ def test_round_trip_offsets_and_odd_rows(docs_of):
     for r in out:
         ends = np.frombuffer(r["ends"], "<u4").tolist()
         assert len(ends) == len(r["ids"]) // 4 and (not ends or ends[-1] == len((r["text"] or "").encode()))
+    once = bpe.encode(docs, PATH, decoded=True, without_text=True)
+    assert "text" not in once.columns and sorted(bytes(r["decoded"]) for r in once.collect()) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.encode(docs_of([]), PATH).collect() == []
 
 
