@@ -43,12 +43,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _bits(n: int) -> int:
-    """Bitmap size: a power of two, 64 or more; 8 bits a shingle up to 2048, then 2."""
+    """Bitmap size: a power of two, 64 or more; 8 bits a shingle up to 1024, then 2."""
 
     def upto(x: float) -> int:
         return 64 << max(0, math.ceil(math.log2(max(1.0, x / 64.0))))
 
-    return min(upto(8 * n), max(2048, upto(2 * n)))
+    return min(upto(8 * n), max(1024, upto(2 * n)))
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -308,10 +308,10 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
 
     # both of a pair share MARGIN + 1 shingles on hand, or t * t * n if a set has fewer
     least = F.least(F.lit(MARGIN + 1), F.floor(F.lit(percent * percent) * F.col("n") / 10_000)).cast("int")
-    narrow = narrow.withColumns({"least": least, "v": F.hash("cls")})
-    flat = narrow.select(F.explode("toks").alias("tok"), "doc", "label", "v", "least")
-    shared = flat.drop("label").join(written(_counts(flat, "tok"), "counts"), "tok", "left_semi").groupBy("doc", "v", "least").agg(F.count("*").alias("shared"))
-    narrow = written(narrow.join(written(shared.filter("shared >= least").select("doc", "v"), "sharing"), ["doc", "v"], "left_semi"), "narrow")
+    narrow = narrow.withColumn("least", least)
+    flat = narrow.select(F.explode("toks").alias("tok"), "doc", "label")
+    shared = flat.drop("label").join(written(_counts(flat, "tok"), "counts"), "tok", "left_semi").groupBy("doc").agg(F.count("*").alias("shared"))
+    narrow = written(narrow.join(written(shared, "sharing"), "doc").filter("shared >= least").drop("shared"), "narrow")
 
     # the same by size: sizes that allow a link are in the same class or in neighbouring ones
     own = F.floor(F.log("n") / F.lit(-math.log(percent / 100.0)) + 1e-9).cast("int")
@@ -322,16 +322,14 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
         flat = written(flat.select("doc", "cls", "least", "sk", "tok").join(counts, ["tok", "sk"]), "shared")
         enough = flat.groupBy("doc", "cls", "sk", "least").agg(F.count("*").alias("shared")).filter("shared >= least").select("doc", "cls", "sk")
         narrow = written(narrow.join(enough, ["doc", "cls", "sk"], "left_semi"), "narrow")
-    place = F.row_number().over(Window.partitionBy("doc", "cls", "sk").orderBy(F.desc("len"), "tok"))
-    chosen = flat.withColumn("place", place).filter(F.col("place") >= F.col("least")).select("doc", "cls", "sk", "tok")
-    chosen = chosen.join(narrow.drop("toks", "least"), ["doc", "cls", "sk"])
-
     bits = written(_texts(docs, narrow.select(F.col("doc").alias("doc_id"))).mapInArrow(_bitmaps(k), "doc long, cls binary, bits binary").dropDuplicates(["doc", "cls"]), "bitmaps")
-    lists = _counts(chosen, "tok", "sk").withColumn("blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
-    chosen = chosen.join(lists, ["tok", "sk"])
+    told = written(narrow.drop("toks", "least").join(bits, ["doc", "cls"]), "told")
+    # the window and the join go by the same keys; a list's length before the cut bounds its length now
+    place = F.row_number().over(Window.partitionBy("doc", "cls", "sk").orderBy(F.desc("len"), "tok"))
+    chosen = flat.withColumn("place", place).filter(F.col("place") >= F.col("least")).select("doc", "cls", "sk", "tok", F.ceil(F.col("len") / BLOCK).cast("int").alias("blocks"))
+    chosen = chosen.join(told, ["doc", "cls", "sk"])
     side = F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int")
     chosen = chosen.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
-    chosen = chosen.join(bits, ["doc", "cls"])
     ordered = chosen.select("tok", "sk", "bi", "bj", "side", "doc", "n", "label", "k", "bits").repartition("tok", "sk", "bi", "bj").sortWithinPartitions("tok", "sk", "bi", "bj")
     pairs = written(ordered.mapInArrow(_lists(percent), "a long, b long").distinct(), "pairs")
     links = early.unionByName(written(_linked(docs, pairs, k, percent), "links")).distinct()
