@@ -9,25 +9,53 @@ from charta.functions.text import lines
 from charta.operators.lexical import overlap
 
 
-def cited(passages: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id, line_no): lines that contain an item's text word for word.
+#: Item keys up to this number, items up to this many characters and pairs of document and item up to this number are broadcast; more are joined by shuffle.
+KEYS, CHARS, PAIRS = 1_000_000, 16_000_000, 100_000
 
-    Items are met by the hash of their first words: each line's windows of as many words join by
-    equality, and only what meets is searched for the whole item.
+
+def cited(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, line_no): where whole texts hold an item's text word for word, by the line in which it begins.
+
+    An item may run over several lines. White space around an item's inner words stands in the
+    document too, so windows of as many words of the document join by the hash of the first inner
+    words, whatever quote, bracket or letter stands at the item's ends; items without inner words
+    join by windows of characters. What meets is searched for the whole item, as it is. Empty and
+    null items and null texts give nothing.
     """
     k = 5
-    heads = F.slice(F.split("text", " ", -1), 1, k)
-    keyed = items.filter(F.length("text") > 0).select("item_id", F.col("text").alias("item"), F.array_join(heads, " ").alias("head"), F.size(heads).alias("k"))
-    sizes = [r["k"] for r in keyed.select("k").distinct().collect()]  # at most k values
-    w = F.split("text", " ", -1)
-
-    def heads_of(size: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " "))
-        return F.when(F.size("w") >= size, each).otherwise(F.array().cast("array<string>"))
-
-    windows = F.array_distinct(F.flatten(F.array(*[heads_of(s) for s in sizes])))
-    found = passages.withColumn("w", w).select("doc_id", "line_no", "text", F.explode(windows).alias("head")) if sizes else passages.select("doc_id", "line_no", "text", F.lit("").alias("head")).filter(F.lit(False))
-    return found.join(keyed, "head").filter(F.contains("text", "item")).select("item_id", "doc_id", "line_no").distinct()
+    asked = items.filter(F.length("text") > 0).select("item_id", F.col("text").alias("item"), F.split("text", r"\s+", -1).alias("w"))
+    inner = F.size("w") > 2
+    head = F.when(inner, F.slice("w", F.lit(2), F.least(F.size("w") - 2, F.lit(k)))).otherwise(F.split("item", "", -1))
+    keyed = asked.select("item_id", inner.alias("inner"), head.alias("head")).select("item_id", "inner", F.size("head").alias("k"), F.xxhash64("head").alias("hash"))
+    shapes = keyed.groupBy("inner", "k").count().collect()  # at most k sizes of words, and lengths of items of one or two words
+    if not shapes:
+        return docs.join(items.filter(F.lit(False)).select("item_id"), F.lit(False)).select("item_id", "doc_id", F.lit(1).alias("line_no"))
+
+    def windows(units: str, size: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(units) - size + 1), lambda i: F.xxhash64(F.slice(units, i, F.lit(size))))
+        return F.when(F.size(units) >= size, each).otherwise(F.array().cast("array<bigint>"))
+
+    split = {"w": F.split("text", r"\s+", -1)} | ({} if all(s["inner"] for s in shapes) else {"c": F.split("text", "", -1)})
+    each = [windows("w" if s["inner"] else "c", s["k"]) for s in shapes]
+    found = docs.filter(F.col("text").isNotNull()).withColumns(split).select("doc_id", F.explode(F.flatten(F.array(*each))).alias("hash"))
+    keys = keyed.select("hash", "item_id")
+    met = found.join(F.broadcast(keys) if sum(s["count"] for s in shapes) <= KEYS else keys, "hash").select("doc_id", "item_id").distinct()
+    pairs = met.limit(PAIRS + 1).collect()
+    near = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(pairs, met.schema)) if len(pairs) <= PAIRS else met, "doc_id")
+    texts = asked.select("item_id", "item")
+    both = near.join(F.broadcast(texts) if texts.agg(F.sum(F.length("item"))).first()[0] <= CHARS else texts, "item_id").filter(F.contains("text", "item"))
+    # cut before every occurrence, overlapping ones too: all cuts but perhaps the first begin with one
+    cuts = F.split("text", F.concat(F.lit("(?=\\Q"), F.replace("item", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")), -1)
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("begin"))
+
+    def step(done: Column, cut: Column) -> Column:
+        line = done["line"] + F.length(cut) - F.length(F.replace(cut, F.lit("\n"), F.lit("")))
+        return F.struct(line.alias("line"), F.when(F.get(done["begin"], F.size(done["begin"]) - 1) == line, done["begin"]).otherwise(F.concat(done["begin"], F.array(line))).alias("begin"))
+
+    found = both.select("item_id", "doc_id", F.startswith("text", "item").alias("first"), cuts.alias("cuts"))
+    later = F.aggregate(F.slice("cuts", F.lit(1), F.size("cuts") - 1), start, step, lambda done: done["begin"])
+    begun = F.when(F.col("first"), F.concat(F.array(F.lit(1)), later)).otherwise(later)
+    return found.select("item_id", "doc_id", F.explode(begun).alias("line_no")).distinct()
 
 
 def uncovered(sources: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

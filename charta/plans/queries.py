@@ -348,7 +348,7 @@ _CITE = f"l AS (SELECT source, doc_id, {_LINES} FROM documents), c AS (SELECT it
 
 @_query(f"WITH {_CITE} SELECT item_id, doc_id, line_no FROM c")
 def passage_cite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.cited(retrieve.passages(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
+    return provenance.cited(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 @_query(f"WITH {_CITE} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)")
