@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charta.functions.text import words
+from charta.operators.entities import fuzzy
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
@@ -48,12 +49,9 @@ def unknown_rate(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def corrections(unknown: DataFrame, lexicon: DataFrame, most: int = 1) -> DataFrame:
-    """(term, suggestion, distance): for unknown terms the nearest lexicon entry by edit distance, blocked on the first letter and the length."""
-    blocks = F.explode(F.sequence(F.length("term") - most, F.length("term") + most)).alias("len")
-    asked = unknown.select("term", F.substring("term", 1, 1).alias("head"), blocks)
-    entries = lexicon.select(F.col("term").alias("suggestion"), F.substring("term", 1, 1).alias("head"), F.length("term").alias("len"))
-    near = asked.join(entries, ["head", "len"]).withColumn("distance", F.levenshtein("term", "suggestion")).filter(F.col("distance") <= most)
-    return near.groupBy("term").agg(F.min(F.struct("distance", "suggestion")).alias("b")).select("term", "b.suggestion", "b.distance")
+    """(term, suggestion, distance): for unknown terms the nearest lexicon entry within ``most`` edits, ties by entry; blocking (see ``entities.fuzzy``) loses nothing."""
+    near = fuzzy(unknown.select(F.col("term").alias("s")), lexicon.select(F.col("term").alias("s")), most)
+    return near.groupBy(F.col("a").alias("term")).agg(F.min(F.struct("distance", F.col("b").alias("suggestion"))).alias("n")).select("term", "n.suggestion", "n.distance")
 
 
 def overlap(a: Column, b: Column) -> Column:

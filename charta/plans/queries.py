@@ -318,10 +318,9 @@ def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT u.term, y.term AS suggestion, levenshtein(u.term, y.term)::INT AS distance FROM u JOIN y ON u.term[1] = y.term[1] AND abs(length(u.term) - length(y.term)) <= 1 WHERE levenshtein(u.term, y.term) <= 1)
     SELECT term, min(suggestion) AS suggestion, 1::INT AS distance FROM n GROUP BY term""")
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.col("term").rlike("^[a-z]{5,}$")
     lexicon = load(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
     terms = load(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
-    return lexical.corrections(terms.join(lexicon, "term", "left_anti").filter(plain), lexicon.filter(plain))
+    return lexical.corrections(terms.join(lexicon, "term", "left_anti"), lexicon)
 
 
 # retrieval and provenance
@@ -502,7 +501,7 @@ def person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH x AS (SELECT DISTINCT unnest({_WORDS}) AS s FROM benchmark), y AS (SELECT s FROM x WHERE regexp_full_match(s, '[a-z]{{4,}}')) SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s)::INT AS distance FROM y a JOIN y b ON abs(length(a.s) - length(b.s)) <= 2 WHERE levenshtein(a.s, b.s) <= 2")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = load(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("s")).distinct().filter(F.col("s").rlike("^[a-z]{4,}$"))
+    words = load(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("s")).distinct()
     return entities.fuzzy(words, words)
 
 
