@@ -1,11 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page in page order. Lines of containers that
-are no article text (scripts, menus, forms, adverts, comments ...) are emptied, others keep their
-text. The text lengths are summed over sliding windows of lines: a surge is where the sum rises from
-nothing, a dive is where it falls to nothing again; what stands between them is kept. With an article
-or main element on the page only lines inside it have a length; without one, a region counts if it
-is dense enough beside the densest one.
+Markup is stripped into lines, one for each block of the page that has text, in page order. A
+container that is no article text (menus, forms, adverts, comments ...) leaves one empty line as its
+mark; nesting of tags, scripts and single controls leave none. The text lengths are summed over
+sliding windows of lines: a surge is where the sum rises from nothing, a dive is where it falls to
+nothing again. On a page with text in an article or main element every line inside it is kept,
+whatever the sums. Without one, what stands from the first to the last region that is dense enough
+beside the densest one is kept, short lines and regions between them too.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ WINDOW, SHARE = 3, 0.2
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "svg", "menu", "object", "head", *RAW}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+CONTROLS = {"button", "select", "svg", "object"}  # emptied, but no container that parts regions
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words in class, id or role that mark a container as no article text.
 MARKS = {
@@ -49,7 +51,7 @@ def _marked(attributes: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside article or main) of every block; the text of boilerplate is empty."""
+    """(text, inside article or main) of every block with text; an emptied container is one line without."""
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []  # open block elements, and whether they are boilerplate
@@ -59,10 +61,9 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
     def line() -> None:
         if text:
             block = "".join(text)
-            out.append((" ".join(_words(html.unescape(block) if "&" in block else block)), inside > 0))
+            if found := _words(html.unescape(block) if "&" in block else block):
+                out.append((" ".join(found), inside > 0))
             text.clear()
-        else:
-            out.append(("", inside > 0))
 
     def pop() -> None:
         nonlocal dropped, inside
@@ -112,6 +113,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 pop()
             bad = name in BOILERPLATE or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") or "comment" in m[3].lower()) and _marked(m[3])
+            if bad and not dropped and name not in CONTROLS:
+                out.append(("", inside > 0))
             stack.append((name, bad))
             dropped += bad
             inside += name in ("article", "main")
@@ -124,7 +127,6 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     own = any(inside and text for text, inside in lines)
     sizes = np.array([len(text) if inside or not own else 0 for text, inside in lines], np.int64)
-    # empty lines between blocks are no gap: the distribution is over lines with text and emptied containers
     if not sizes.any():
         return ""
     sums = np.convolve(sizes, np.ones(WINDOW, np.int64))[: len(sizes)]
@@ -132,8 +134,9 @@ def main_text(page: str | None) -> str:
     surges = np.flatnonzero(full & ~np.append(False, full[:-1]))
     dives = np.flatnonzero(full & ~np.append(full[1:], False)) + 1
     least = 0 if own else SHARE * sums.max()
-    kept = [text for a, z in zip(surges, dives, strict=True) if sums[a:z].max() >= least for (text, _), n in zip(lines[a:z], sizes[a:z], strict=True) if n]
-    return " ".join(kept)
+    dense = [(a, z) for a, z in zip(surges, dives, strict=True) if sums[a:z].max() >= least]
+    a, z = dense[0][0], dense[-1][1]
+    return " ".join(text for (text, _), n in zip(lines[a:z], sizes[a:z], strict=True) if n)
 
 
 def extract(pages: DataFrame) -> DataFrame:
