@@ -31,14 +31,18 @@ BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTROLS = {"button", "select", "svg", "object"}  # emptied, but no container that parts regions
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words in class, id or role that mark a container as no article text.
+#: Words in class, id or role that mark a container as no article text; names like no-sidebar say what is not in it or besides it.
 MARKS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "side", "aside", "widget",
-    "footer", "foot", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "alert",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "widget",
+    "footer", "foot", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay",
     "comment", "comments", "reply", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "newsletter",
-    "subscribe", "subscription", "signup", "login", "search", "complementary", "contentinfo",
+    "subscribe", "subscription", "signup", "login", "complementary", "contentinfo",
 }
+#: Marks of comment areas, which keep articles inside them empty too; words that mark as a role alone; beginnings of names that mark nothing.
+COMMENTS = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+ROLES = {"search", "alert"}
+ABOUT = ("no-", "has-", "with-", "without-", "no_", "has_", "with_", "without_")
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -46,16 +50,23 @@ _words = re.compile(r"[^ \t\n\r\f\v]+").findall
 _CLOSES_P = {"article", "main", "section", "div", "p", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "hr", "header", "address", *BOILERPLATE} - RAW
 
 
-def _marked(attributes: str) -> bool:
-    return any(word in MARKS for m in _ATTRIBUTE.finditer(attributes) for word in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
+def _marks(attributes: str) -> set[str]:
+    """The words in class, id and role that are marks."""
+    found = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        marks = MARKS | ROLES if m[1].lower() == "role" else MARKS
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            if not name.startswith(ABOUT):
+                found.update(x for x in re.split(r"[^a-z]+", name) if x in marks)
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """(text, inside article or main) of every block with text; an emptied container is one line without."""
     out: list[tuple[str, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open block elements, and whether they are boilerplate
-    dropped = inside = 0
+    stack: list[tuple[str, int, bool]] = []  # open block elements, what they add to dropped, and whether articles inside are dropped too
+    dropped = inside = firm = articles = 0
     at = 0
 
     def line() -> None:
@@ -66,10 +77,12 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             text.clear()
 
     def pop() -> None:
-        nonlocal dropped, inside
-        name, bad = stack.pop()
+        nonlocal dropped, inside, firm, articles
+        name, bad, hard = stack.pop()
         dropped -= bad
+        firm -= hard
         inside -= name in ("article", "main")
+        articles -= name == "article"
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -84,19 +97,19 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         name = m[2].lower()
         if name in INLINE:
             # an inline element ends no block, but may be marked as an advert
-            if not m[1] and m[3] and not m[3].endswith("/") and _marked(m[3]):
+            if not m[1] and m[3] and not m[3].endswith("/") and _marks(m[3]):
                 line()
-                stack.append((name, True))
+                stack.append((name, 1, False))
                 dropped += 1
-            elif m[1] and stack and stack[-1] == (name, True):
+            elif m[1] and stack and stack[-1][0] == name:
                 pop()
             elif not m[1] and stack and dropped and stack[-1][0] == name:
-                stack.append((name, True))
+                stack.append((name, 1, False))
                 dropped += 1
             continue
         line()
         if m[1]:
-            if any(x == name for x, _ in stack):
+            if any(x[0] == name for x in stack):
                 # an article's end tag closes what is left open in it; others stop at the article
                 while stack[-1][0] != name and (name in ("article", "main", "body", "html") or stack[-1][0] not in ("article", "main")):
                     pop()
@@ -112,12 +125,19 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 pop()
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 pop()
-            bad = name in BOILERPLATE or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") or "comment" in m[3].lower()) and _marked(m[3])
+            marks = _marks(m[3])
+            own = name in BOILERPLATE or (name == "header" and not inside)
+            bad = int(own or (name not in ("html", "body", "article", "main") or "comment" in m[3].lower()) and bool(marks))
+            hard = own or bool(bad and marks & COMMENTS)
             if bad and not dropped and name not in CONTROLS:
                 out.append(("", inside > 0))
-            stack.append((name, bad))
+            if name in ("article", "main") and not bad and not firm and not articles:
+                bad = -dropped  # an article in a marked wrapper is not emptied with it
+            stack.append((name, bad, hard))
             dropped += bad
+            firm += hard
             inside += name in ("article", "main")
+            articles += name == "article"
     line()
     return out
 
