@@ -228,12 +228,12 @@ _FOLD = f"translate(lower(substr(text, 1, 60)), '{T.ACCENTED}', '{T.PLAIN}')"
 
 @_query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", T.folded(F.substring("text", 1, 60)).alias("folded"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.folded(F.col("text")).alias("folded"))
 
 
 @_query(f"SELECT doc_id, 'sources/' || source || '/' || regexp_replace(regexp_replace(replace({_FOLD}, 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' || source || '_' || lpad(doc_id::VARCHAR, 6, '0') || '_' || lang || '.md' AS path FROM documents")
 def doc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = T.source_path(F.col("source"), F.substring("text", 1, 60), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.col("lang"))
+    path = T.source_path(F.col("source"), fetch.first_line(F.col("text")), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.col("lang"))
     return load(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
 
 

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 
+from charta.functions import text as T
 from charta.operators import lexical, provenance
 from charta.plans import queries as plans
 from tests.conftest import SF
@@ -80,3 +81,16 @@ def test_fuzzy_match_compares_every_word(spark):
     want = {(a, b, d) for a in words for b in words if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2}
     assert any(not re.fullmatch("[a-z]{4,}", a) for a, _, _ in want)
     assert {tuple(r) for r in plans.queries()["fuzzy_match"](spark, SF).collect()} == want
+
+
+def test_accent_fold_folds_whole_texts(spark, same):
+    same(plans.queries()["accent_fold"], f"SELECT doc_id, translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}') AS folded FROM documents")
+
+
+def test_doc_path_takes_the_first_line(spark):
+    fold = str.maketrans(T.ACCENTED, T.PLAIN)
+    want = {}
+    for i, text, source, lang in zip(*(column("documents", c) for c in ("doc_id", "text", "source", "lang"))):
+        name = re.sub("[^a-z0-9]+", "_", text.split("\n")[0].lower().translate(fold).replace("ß", "ss")).strip("_")
+        want[i] = f"sources/{source}/{name}_{source}_{i:06d}_{lang}.md"
+    assert {r["doc_id"]: r["path"] for r in plans.queries()["doc_path"](spark, SF).collect()} == want
