@@ -94,3 +94,10 @@ def test_doc_path_takes_the_first_line(spark):
         name = re.sub("[^a-z0-9]+", "_", text.split("\n")[0].lower().translate(fold).replace("ß", "ss")).strip("_")
         want[i] = f"sources/{source}/{name}_{source}_{i:06d}_{lang}.md"
     assert {r["doc_id"]: r["path"] for r in plans.queries()["doc_path"](spark, SF).collect()} == want
+
+
+def test_entity_gazetteer_covers_all_mentions(spark, same):
+    by_id = "WHERE doc_id < 100"
+    sql = plans.oracle_sql()["entity_gazetteer"].replace(by_id, "")
+    same(plans.queries()["entity_gazetteer"], sql)
+    assert plans.queries()["entity_gazetteer"](spark, SF).filter("entity_type IS NULL").count() == 0
