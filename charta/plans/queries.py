@@ -156,7 +156,7 @@ def fetch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH w AS (SELECT url FROM pages WHERE page_id % 7 = 0 UNION SELECT 'http://nowhere.example/') SELECT w.url, page_id, length(html) AS n_chars FROM w LEFT JOIN pages USING (url)")
 def fetch_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
-    wanted = pages.filter("page_id % 7 = 0").select("url").unionByName(spark.createDataFrame([("http://nowhere.example/",)], "url string"))
+    wanted = pages.select("url").unionByName(spark.createDataFrame([("http://nowhere.example/",)], "url string"))
     return fetch.contents(pages, wanted).select("url", "page_id", F.length("html").cast("long").alias("n_chars"))
 
 

@@ -101,3 +101,7 @@ def test_entity_gazetteer_covers_all_mentions(spark, same):
     sql = plans.oracle_sql()["entity_gazetteer"].replace(by_id, "")
     same(plans.queries()["entity_gazetteer"], sql)
     assert plans.queries()["entity_gazetteer"](spark, SF).filter("entity_type IS NULL").count() == 0
+
+
+def test_fetch_contents_asks_for_every_page(spark, same):
+    same(plans.queries()["fetch_contents"], plans.oracle_sql()["fetch_contents"].replace("WHERE page_id % 7 = 0", ""))
