@@ -35,9 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) with their number."""
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), without_text=True)
-    return out.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
+    """Token ids (little-endian unsigned 32-bit) with their number, and the SHA-256 of the bytes that they decode to."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(), decoded=True, without_text=True)
+    return out.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("source mixing", mix), ("byte-level BPE", tokens)]
