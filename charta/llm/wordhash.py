@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 2 << 20
+_CHUNK, _PIECE = 2 << 20, 1 << 18
 
 
 def _byte_codes() -> np.ndarray:
@@ -38,10 +38,12 @@ class _Powers:
         self.base, self.table = base, np.ones(1, np.uint64)
 
     def upto(self, n: int) -> np.ndarray:
-        while len(self.table) < n:
-            k = len(self.table)
-            self.table = np.concatenate([self.table, self.table * np.uint64(pow(self.base, k, 1 << 64))])
-        return self.table[:n]
+        table = self.table
+        while len(table) < n:
+            table = np.concatenate([table, table * np.uint64(pow(self.base, len(table), 1 << 64))])
+        if n <= 2 * _PIECE:  # what a single long word needs is not kept
+            self.table = table
+        return table[:n]
 
 
 _UP, _DOWN = _Powers(_BASE), _Powers(pow(_BASE, -1, 1 << 64))
@@ -103,9 +105,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * _UP.upto(len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _DOWN.upto(len(data))[starts])
+    """One fingerprint for each word; made in pieces of about _PIECE bytes that end with a word, so that what is made of a byte stays small."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        a = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, a + _PIECE, "right")))
+        n = int(ends[end - 1]) - a
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[data[a : a + n]] * _UP.upto(n), out=sums[1:])
+        out[at:end] = mix((sums[ends[at:end] - a] - sums[starts[at:end] - a]) * _DOWN.upto(n)[starts[at:end] - a])
+        at = end
+    return out
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

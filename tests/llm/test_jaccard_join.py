@@ -46,10 +46,14 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("k, percent, rounds, block", [(4, 85, 4, 1024), (3, 80, 0, 8)])
-def test_equals_brute_force(docs_of, monkeypatch, k, percent, rounds, block):
-    monkeypatch.setattr(J, "ROUNDS", rounds)
-    monkeypatch.setattr(J, "BLOCK", block)
+# every constant shrunk: several buckets, blocks of first trees, pairs of blocks, leaves, joins by shuffle
+SMALL = {"MARGIN": 2, "BUCKET": 500, "HOME": 400, "BLOCK": 6, "LEAF": 3, "BROADCAST_ROWS": 0}
+
+
+@pytest.mark.parametrize("k, percent, constants", [(4, 85, {}), (4, 85, {"HOME": 400, "BLOCK": 6}), (3, 80, SMALL)])
+def test_equals_brute_force(docs_of, monkeypatch, k, percent, constants):
+    for name, value in constants.items():
+        monkeypatch.setattr(J, name, value)
     rows = corpus(120, k)
     found, links = J.similar(docs_of([(i, t, "s") for i, t in rows]), k, percent)
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, k, percent)
@@ -57,17 +61,36 @@ def test_equals_brute_force(docs_of, monkeypatch, k, percent, rounds, block):
         assert 100 * r["shared"] >= percent * r["united"]
 
 
-def test_dual_traversal_finds_all_pairs():
+def test_second_trees_alone_find_all_links(docs_of, monkeypatch):
+    """Without the first trees every link comes from the lists, long ones as pairs of blocks."""
+    monkeypatch.setattr(J, "BLOCK", 5)
+    monkeypatch.setattr(J, "_first_links", lambda sets, lists, percent: (sets.selectExpr("row a", "row b", "n shared", "n united").limit(0), sets.selectExpr("row", "row label").limit(0)))
+    rows = corpus(100, 9)
+    assert sorted((tuple(r) for r in J.similar(docs_of([(i, t, "s") for i, t in rows]), 4, 85)[0].collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_a_hot_group_of_near_copies_is_one_component(docs_of, monkeypatch):
+    monkeypatch.setattr(J, "HOME", 3000)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if j != i % 97 else f"x{i}" for j, w in enumerate(base))) for i in range(150)] + [(200 + i, " ".join(f"v{rng.randrange(9**9)}" for _ in range(50))) for i in range(60)]
+    assert sorted((tuple(r) for r in J.similar(docs_of([(i, t, "s") for i, t in rows]), 4, 85)[0].collect()), key=str) == brute(rows, 4, 85)
+
+
+def test_dual_traversal_finds_all_pairs_and_prunes():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(base, 120, replace=False) if i % 3 else base[:120], rng.integers(0, 1 << 63, rng.integers(0, 30), dtype=np.uint64)])) for i in range(230)]
-    sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    bits = np.stack([np.frombuffer(J.bitmap(s), np.uint64)[:16] if len(J.bitmap(s)) == 128 else J._fold(np.frombuffer(J.bitmap(s), np.uint64), 16) for s in sets])
-    tree = J.SignatureTree(n, bits, np.arange(len(sets)))
-    got = {(int(a), int(b)) for i, j in J.dual_traversal(tree, tree, 85) for a, b in zip(i, j)}
+    bits = [np.frombuffer(J.bitmap(s), np.uint64) for s in sets]
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - c)}
-    assert want and want <= got and len(got) < 230 * 229 // 2
+    pair = lambda i, j: [(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())]
+    got = [x for i, j in J.candidates(n, bits, np.arange(len(sets)), np.zeros(len(sets), int), 85) for x in pair(i, j)]
+    assert want and want <= set(got) and len(got) == len(set(got)) < 230 * 229 // 4
+    side = np.arange(len(sets)) % 2
+    got = [x for i, j in J.candidates(n, bits, np.arange(len(sets)), side, 85) for x in pair(i, j)]
+    assert {x for x in want if side[x[0]] != side[x[1]]} <= set(got) and all(side[a] != side[b] for a, b in got)
+    assert not list(J.candidates(n, bits, np.zeros(len(sets), int), side, 85))
 
 
 def test_components_of_chains_and_stars(spark):
