@@ -13,10 +13,12 @@ of at least the threshold can be found, none is missed:
    the lists of what is left of the prefixes are few and short. Lists with equal members become one.
 4. Signature trees give the candidates: leaves of sets in the order of size, nodes with OR-combined
    bitmaps and size ranges. A dual traversal drops node pairs whose largest possible overlap is too
-   small, then pairs of sets by the same bound. First each set meets its longest list, in blocks of
-   bounded size; what the traversal leaves and no link connects yet is compared in full there. Then
-   all lists whose members are not connected yet are traversed, long ones as pairs of blocks.
-5. The pairs that the second traversal leaves are compared in full, and links joined to components.
+   small, then pairs of sets by the same bound; a pair that is left, and that no link connects yet, is
+   compared in full there. So a tree gives links that connect what it can connect, not all pairs.
+   First each set meets its longest list, in blocks of bounded size. Then all lists whose members
+   are not connected yet are traversed, those of equal components as one, long ones as pairs of
+   blocks; blocks of what is connected already do not meet.
+5. Links are joined to components.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from charta.llm.components import components
 from charta.llm.wordhash import mix, portions, shingle_sets
 from charta.llm.workdir import written
 
-#: Least m; fingerprints in a bucket, shingles in a block of the first trees, sets in a block of the second, sets in a leaf. None limits what is found.
-MARGIN, BUCKET, HOME, BLOCK, LEAF = 16, 250_000, 1 << 20, 1024, 48
+#: Least m; fingerprints in a bucket, shingles in a block of trees, sets in a leaf. None limits what is found.
+MARGIN, BUCKET, BLOCK, LEAF = 16, 250_000, 1 << 20, 48
 #: Tables of up to so many narrow rows (40 bytes or less) are broadcast, counted first; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _WIDE = np.uint64((1 << 40) - 1)
@@ -321,11 +323,6 @@ def _sets(k: int) -> Callable:
     return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(g) for g in _blobs(batch.column(1))], pa.binary())], names=["row", "bits"])
-
-
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Common members of two sorted sets."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -333,21 +330,24 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
 
 
-def _home_trees(percent: int) -> Callable:
-    """Links that connect what one block can connect: a, b, shared, united; beside each a row of the block (``row``) that has got another label (``label``)."""
+def _trees(percent: int, key: int) -> Callable:
+    """Links that connect what one block, or one pair of blocks, can connect; rows come sorted by their first ``key`` columns, then side, row, label, grams.
+
+    a, b, shared, united; beside each a label (``row``) that has become another one (``label``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 3):
-            if len(rows) < 2:
+        for _, rows in _groups(batches, key):
+            side, names, before = (np.array([r[key + c] for r in rows], np.int64) for c in range(3))
+            if len(rows) < 2 or (before == before[0]).all():
                 continue
-            names, grams = np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[5], np.uint64) for r in rows]
-            before = np.array([r[4] for r in rows], np.int64)
+            grams = [np.frombuffer(r[key + 3], np.uint64) for r in rows]
             _, first, labels = np.unique(before, return_index=True, return_inverse=True)
             labels = first[labels]  # labels here are positions
             sizes = np.array([len(g) for g in grams], np.int64)
             bits = [np.frombuffer(bitmap(g), np.uint64) for g in grams]
             links: list[tuple[int, int, int, int]] = []
-            for left, right in candidates(sizes, bits, labels, np.zeros(len(rows), np.int64), percent):
+            for left, right in candidates(sizes, bits, labels, np.unique(side, return_inverse=True)[1], percent):
                 for i, j in zip(left.tolist(), right.tolist(), strict=True):
                     if labels[i] == labels[j] or names[i] == names[j]:
                         continue
@@ -360,7 +360,7 @@ def _home_trees(percent: int) -> Callable:
             if not links:
                 continue
             a, b, shared, united = (np.array(c, np.int64) for c in zip(*links, strict=True))
-            # the smallest row of a component is its label
+            # the smallest label of a component is its label
             least = np.full(len(rows), np.iinfo(np.int64).max)
             np.minimum.at(least, labels, before)
             now = least[labels]
@@ -372,41 +372,7 @@ def _home_trees(percent: int) -> Callable:
     return run
 
 
-_HOME = "a long, b long, shared long, united long, row long, label long"
-
-
-def _list_trees(percent: int) -> Callable:
-    """Candidate pairs of every list, or pair of blocks of a long one; rows come sorted by list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches, 4):
-            side = np.array([r[4] for r in rows], np.int64)
-            if len(rows) < 2 or (key[2] != key[3] and len(np.unique(side)) < 2):
-                continue
-            names, labels, sizes = (np.array([r[c] for r in rows], np.int64) for c in (5, 6, 7))
-            bits = [np.frombuffer(r[8], np.uint64) for r in rows]
-            for left, right in candidates(sizes, bits, labels, side, percent):
-                x, y = names[left], names[right]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return run
-
-
-def _compare(percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in portions(b, 2, 4 << 20)):
-            keep, both, either = [], [], []
-            for i, (x, y) in enumerate(zip(_blobs(batch.column(2)), _blobs(batch.column(3)), strict=True)):
-                shared = _overlap(x, y)
-                united = len(x) + len(y) - shared
-                if united and 100 * shared >= percent * united:
-                    keep.append(i)
-                    both.append(shared)
-                    either.append(united)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "shared", "united"])
-
-    return run
+_LINKS = "a long, b long, shared long, united long, row long, label long"
 
 
 def _near(df: DataFrame, name: str) -> DataFrame:
@@ -428,42 +394,47 @@ def _dealt(rows: DataFrame, total: int) -> DataFrame:
 
 
 def _pairs_of_blocks(chosen: DataFrame) -> DataFrame:
-    """``chosen`` (s1, s2, row, n, label, c) dealt to (bi, bj, side).
+    """``chosen`` (s1, s2, row, n, label, total) dealt to (bi, bj, side).
 
-    A list of up to BLOCK rows is one block. In a longer one the rows of its most frequent label have
-    blocks of their own, below 0, which never meet each other; all other pairs of blocks meet.
+    A list of up to BLOCK shingles in total is one block. In a longer one the rows of its largest label
+    have blocks of their own, below 0, which never meet each other; all other pairs of blocks meet.
     """
     key = ["s1", "s2"]
-    long = chosen.filter(F.col("c") > BLOCK)
-    of = long.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("most"))
-    of = _near(of.select(*key, "most.label", "most.m").withColumnRenamed("label", "main"), "main_labels")
+    long = chosen.filter(F.col("total") > BLOCK)
+    of = long.groupBy(*key, "label").agg(F.sum("n").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("most"))
+    of = _near(of.select(*key, F.col("most.label").alias("main"), "most.m"), "main_labels")
     blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / BLOCK)).cast("int")
-    rows = long.join(of, key).withColumns({"own": F.col("label") == F.col("main"), "mb": blocks(F.col("m")), "ob": blocks(F.col("c") - F.col("m"))})
+    rows = long.join(of, key).withColumns({"own": F.col("label") == F.col("main"), "mb": blocks(F.col("m")), "ob": blocks(F.col("total") - F.col("m"))})
     place = lambda b: F.pmod(F.xxhash64("row"), F.col(b).cast("long")).cast("int")
     rows = rows.withColumn("side", F.when(F.col("own"), -1 - place("mb")).otherwise(place("ob")))
     others = F.sequence(F.lit(0), F.col("ob") - 1)
     rows = rows.withColumn("other", F.explode(F.when(F.col("own"), others).otherwise(F.concat(others, F.transform(F.sequence(F.lit(1), F.col("mb")), lambda i: -i)))))
-    cols = [*key, "bi", "bj", "side", "row", "label", "n"]
+    cols = [*key, "bi", "bj", "side", "row", "label"]
     rows = rows.withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")}).select(*cols)
     zero = F.lit(0)
-    return chosen.filter(F.col("c") <= BLOCK).withColumns({"bi": zero, "bj": zero, "side": zero}).select(*cols).unionByName(rows)
+    return chosen.filter(F.col("total") <= BLOCK).withColumns({"bi": zero, "bj": zero, "side": zero}).select(*cols).unionByName(rows)
+
+
+def _links(sets: DataFrame, dealt: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """What the trees of all blocks find; ``dealt`` (key, side, row, label)."""
+    rows = _near(dealt, "dealt").join(sets, "row").select(*key, "side", "row", "label", "grams")
+    return written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees(percent, len(key)), _LINKS), "links")
 
 
 def _first_links(sets: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): trees over the longest list of each row, in blocks of about HOME shingles.
+    """(links, labels): trees over the longest list of each row, in blocks of about BLOCK shingles.
 
     labels (row, label): rows that links connect to another; label is the smallest row reached. A list
     of several blocks is dealt once more, in another way, so that its blocks connect.
     """
     key = ["s1", "s2"]
     home = written(lists.groupBy("row").agg(F.max(F.struct("c", *key)).alias("h"), F.first("n").alias("n")).select("row", "n", "h.s1", "h.s2"), "homes")
-    sizes = _near(home.groupBy(*key).agg(F.sum("n").alias("total"), F.count("*").alias("c")).filter("c > 1").select(*key, F.ceil(F.col("total") / HOME).alias("blocks")), "home_sizes")
+    sizes = _near(home.groupBy(*key).agg(F.sum("n").alias("total"), F.count("*").alias("c")).filter("c > 1").select(*key, F.ceil(F.col("total") / BLOCK).alias("blocks")), "home_sizes")
     home = written(home.join(sizes, key).select("row", *key, "blocks"), "homes")
 
     def trees(of: DataFrame, seed: int) -> DataFrame:
         block = F.pmod(F.xxhash64("row", F.lit(seed)), F.col("blocks")).alias("block")
-        rows = sets.join(_near(of.select("row", *key, "label", block), "blocks"), "row").select(*key, "block", "row", "label", "grams")
-        return written(rows.repartition(*key, "block").sortWithinPartitions(*key, "block").mapInArrow(_home_trees(percent), _HOME), "links")
+        return _links(sets, of.select(*key, block, F.lit(0).alias("side"), "row", "label"), [*key, "block"], percent)
 
     found = trees(home.withColumn("label", F.col("row")), 1)
     links, labels = found.select("a", "b", "shared", "united"), found.filter("row is not null").select("row", "label")
@@ -478,6 +449,18 @@ def _first_links(sets: DataFrame, lists: DataFrame, percent: int) -> tuple[DataF
     return links, written(labels, "labels")
 
 
+def _second_links(sets: DataFrame, lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between rows of different labels, from all lists that have such rows. Lists with the same labels become one list."""
+    key = ["s1", "s2"]
+    rows = written(lists.join(_small(labels), "row", "left").select(*key, "row", "n", F.coalesce("label", "row").alias("label")), "labelled")
+    one = lambda seed: F.bit_xor(F.xxhash64("label", F.lit(seed)))
+    mixed = rows.select(*key, "label").distinct().groupBy(*key).agg(one(1).alias("l1"), one(2).alias("l2"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    chosen = rows.join(_near(mixed, "mixed"), key).select(F.col("l1").alias("s1"), F.col("l2").alias("s2"), "row", "n", "label").distinct()
+    chosen = written(chosen, "chosen")
+    totals = _near(chosen.groupBy(*key).agg(F.sum("n").alias("total")), "totals")
+    return _links(sets, _pairs_of_blocks(chosen.join(totals, key)).select(*key, "bi", "bj", "side", "row", "label"), [*key, "bi", "bj"], percent)
+
+
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Near duplicates among ``docs`` (doc_id long, text string, any others).
 
@@ -516,15 +499,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     lists = written(flat.join(_near(names, "names"), "tok").select("s1", "s2", "c", "row", "n").distinct(), "lists")
 
     first, labels = _first_links(sets, lists, percent)
-    rows = lists.join(_small(labels), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    mixed = _near(rows.groupBy("s1", "s2").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("s1", "s2", "c"), "mixed")
-    chosen = written(rows.drop("c").join(mixed, ["s1", "s2"]), "chosen")
-    bits = written(sets.join(_near(chosen.select("row").distinct(), "wanted"), "row", "left_semi").select("row", "grams").mapInArrow(_bitmaps, "row long, bits binary"), "bitmaps")
-    dealt = _pairs_of_blocks(chosen).join(bits, "row").select("s1", "s2", "bi", "bj", "side", "row", "label", "n", "bits")
-    key = ["s1", "s2", "bi", "bj"]
-    pairs = written(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_list_trees(percent), "a long, b long").filter("a <> b").distinct(), "pairs")
-    x, y = (sets.select(F.col("row").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
-    second = pairs.join(x, "a").join(y, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_compare(percent), "a long, b long, shared long, united long")
+    second = _second_links(sets, lists, labels, percent).select("a", "b", "shared", "united")
 
     ids = sketch.select("row", "doc_id")
     links = written(first.unionByName(second), "row_links")
