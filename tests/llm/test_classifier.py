@@ -41,15 +41,73 @@ def test_labels_of_the_held_out_fifth_do_not_count(spark, docs_of):
     assert np.array_equal(a.vectors, b.vectors) and np.array_equal(a.labels, b.labels)
 
 
+def plain_scores(model, texts):
+    """Votes in plain Python: exact products of whole numbers, ties to the first sampled text."""
+    terms = C.term_counts(pa.array(texts, pa.string()))
+    mine, some = model.project(terms), terms.some()
+    sample = [[int(x) for x in u] for u in model.vectors]
+    out = []
+    for v, has in zip(mine, some):
+        v = [int(x) for x in v]
+        near = sorted(((-sum(a * b for a, b in zip(v, u)), j) for j, u in enumerate(sample)))[: C.NEIGHBOURS]
+        w = [max(-s / 4.0**C.GRID, 0) ** C.POWER for s, _ in near]
+        out.append(sum(a * model.labels[j] for a, (_, j) in zip(w, near)) / sum(w) if has and sum(w) else model.prior)
+    return out
+
+
 def test_votes_equal_brute_force():
     rows = corpus(60)
-    counts = C.term_counts(pa.array([t for _, t, _ in rows]))
-    model = C.fit(counts[:40], np.array([y for _, _, y in rows[:40]]))
-    v = model.project(counts)
-    for i, s in enumerate(model.scores(counts, block=7)):
-        near = sorted(((float(v[i] @ u), j) for j, u in enumerate(model.vectors)), reverse=True)[: C.NEIGHBOURS]
-        w = [max(x, 0) ** C.POWER for x, _ in near]
-        assert abs(s - sum(a * model.labels[j] for a, (_, j) in zip(w, near)) / sum(w)) < 1e-6
+    texts = [t for _, t, _ in rows]
+    model = C.fit(C.term_counts(pa.array(texts[:40] + texts[:3])), np.array([y for _, _, y in rows[:40]] + [1 - y for _, _, y in rows[:3]]))
+    for block in (7, 256):
+        assert np.allclose(model.scores(C.term_counts(pa.array(texts)), block=block), plain_scores(model, texts), atol=1e-12)
+
+
+def test_query_equals_brute_force(spark):
+    from charta.llm.queries import op9_quality_classifier
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = C.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = docs.select("doc_id", "text").collect()
+    want = {r["doc_id"]: s for r, s in zip(rows, plain_scores(model, [r["text"] for r in rows]))}
+    got = op9_quality_classifier(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-12 and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_sparse_products_equal_dense_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = [0, 3, 0, 5, 1, 0, 9, 2, 0]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at, values, dense = rng.integers(0, 6, ends[-1]), rng.random(ends[-1]), rng.random((6, 4))
+    full = np.zeros((len(counts), 6))
+    np.add.at(full, (np.repeat(np.arange(len(counts)), counts), at), values)
+    for most in (1, 4, 1000):
+        monkeypatch.setattr(C, "ENTRIES", most)
+        assert np.allclose(C._times(ends, at, values, dense), full @ dense)
+
+
+def test_equal_texts_have_equal_scores_and_columns_stay(spark):
+    rows = corpus(200)
+    texts = [t for _, t, _ in rows]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, texts[i % 7], "own", 5, 0.5) for i in range(200)], "doc_id long, text string, `a.b` string, predicted int, score double")
+    train = C.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    scores = {}
+    for r in C.score(docs.repartition(5), train).collect():
+        scores.setdefault(r["text"], set()).add(r["score"])
+    assert len(scores) == 7 and all(len(x) == 1 for x in scores.values())
+    kept = C.accepted(docs, labels)
+    assert kept.columns == docs.columns and {(r["a.b"], r["predicted"], r["score"]) for r in kept.collect()} == {("own", 5, 0.5)}
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.createDataFrame([(1, b"a \xff b"), (2, b"good words")], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) text")
+    model = C.fit(C.term_counts(pa.array(["good words", "*** $$$"])), np.array([1.0, 0.0]))
+    assert len(C.score(docs, model).collect()) == 2
 
 
 def test_no_labels_and_no_rows(spark, docs_of):
