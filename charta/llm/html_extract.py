@@ -2,11 +2,11 @@
 
 Markup is stripped into lines, one for each block of the page that has text, in page order. A
 container that is no article text (menus, forms, adverts, comments ...) leaves one empty line as its
-mark; nesting of tags, scripts and single controls leave none. The text lengths are summed over
-sliding windows of lines: a surge is where the sum rises from nothing, a dive is where it falls to
-nothing again. On a page with text in an article or main element every line inside it is kept,
-whatever the sums. Without one, what stands from the first to the last region that is dense enough
-beside the densest one is kept, short lines and regions between them too.
+mark; nesting of tags, scripts and single controls leave none. Where a page has text in an article or
+main element, the lines outside are emptied too. The text lengths are summed over sliding windows of
+lines: a surge is where the sum rises from nothing, a dive is where it falls to nothing again. What
+stands from the surge of the first region that is dense enough beside the densest one to the dive of
+the last is kept, short lines and regions between them too.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from charta.llm.wordhash import portions
 
-#: Lines in a window; the share of the densest window that a region must reach on pages without article or main.
-WINDOW, SHARE = 3, 0.2
+#: Lines in a window; the share of the densest window that a region must reach, on any page and within an article or main; how often a heading's length counts.
+WINDOW, SHARE, INNER, HEADING = 3, 0.2, 0.02, 8
 
 #: Element names of HTML.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "svg", "menu", "object", "head", *RAW}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTROLS = {"button", "select", "svg", "object"}  # emptied, but no container that parts regions
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words in class, id or role that mark a container as no article text; names like no-sidebar say what is not in it or besides it.
 MARKS = {
@@ -61,9 +62,9 @@ def _marks(attributes: str) -> set[str]:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside article or main) of every block with text; an emptied container is one line without."""
-    out: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, inside article or main, heading) of every block with text; an emptied container is one line without."""
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # open block elements, what they add to dropped, and whether articles inside are dropped too
     dropped = inside = firm = articles = 0
@@ -73,7 +74,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if text:
             block = "".join(text)
             if found := _words(html.unescape(block) if "&" in block else block):
-                out.append((" ".join(found), inside > 0))
+                out.append((" ".join(found), inside > 0, any(x[0] in HEADINGS for x in stack[-2:])))
             text.clear()
 
     def pop() -> None:
@@ -130,7 +131,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             bad = int(own or (name not in ("html", "body", "article", "main") or "comment" in m[3].lower()) and bool(marks))
             hard = own or bool(bad and marks & COMMENTS)
             if bad and not dropped and name not in CONTROLS:
-                out.append(("", inside > 0))
+                out.append(("", inside > 0, False))
             if name in ("article", "main") and not bad and not firm and not articles:
                 bad = -dropped  # an article in a marked wrapper is not emptied with it
             stack.append((name, bad, hard))
@@ -143,37 +144,42 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The lines between surges and dives, joined by a space; empty for null, empty and textless pages."""
+    """The lines between the first surge and the last dive of dense regions, joined by a space; empty for null, empty and textless pages."""
     lines = lines_of(page or "")
-    own = any(inside and text for text, inside in lines)
-    sizes = np.array([len(text) if inside or not own else 0 for text, inside in lines], np.int64)
+    own = any(inside and text for text, inside, _ in lines)
+    # the article's tags empty what stands outside it
+    sizes = np.array([len(text) * (HEADING if head else 1) if inside or not own else 0 for text, inside, head in lines], np.int64)
+    a, z = dense_span(sizes, INNER if own else SHARE)
+    return " ".join(text for (text, _, _), n in zip(lines[a:z], sizes[a:z], strict=True) if n)
+
+
+def dense_span(sizes: np.ndarray, share: float) -> tuple[int, int]:
+    """The lines from the first to the last region whose densest window has ``share`` of the densest of all; (0, 0) without text."""
     if not sizes.any():
-        return ""
+        return 0, 0
     sums = np.convolve(sizes, np.ones(WINDOW, np.int64))[: len(sizes)]
     full = sums > 0
     surges = np.flatnonzero(full & ~np.append(False, full[:-1]))
     dives = np.flatnonzero(full & ~np.append(full[1:], False)) + 1
-    least = 0 if own else SHARE * sums.max()
-    dense = [(a, z) for a, z in zip(surges, dives, strict=True) if sums[a:z].max() >= least]
-    a, z = dense[0][0], dense[-1][1]
-    return " ".join(text for (text, _), n in zip(lines[a:z], sizes[a:z], strict=True) if n)
+    dense = np.flatnonzero(np.maximum.reduceat(sums, surges) >= share * sums.max())
+    return int(surges[dense[0]]), int(dives[dense[-1]])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``text`` (string) and ``n_chars`` (long, its code points); columns of these names are replaced.
+    """``pages`` with ``text`` (string) and ``n_chars`` (long, its code points) for html; columns of these names are replaced.
 
     Character references are decoded as HTML does, white space inside a block becomes one space,
-    blocks are joined by one space. Null and empty html give an empty text. A page's text depends on
-    its own html alone.
+    blocks are joined by one space. Null and empty html give an empty text; bytes that are no UTF-8
+    count as U+FFFD. A page's text depends on its own html alone, so repeated rows have equal texts;
+    very long pages are read whole, one at a time. An empty table gives no rows.
     """
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    at = kept.index("html")
+    kept = [c for c in pages.columns if c not in ("text", "n_chars", "html")]
+    inner = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("html").cast("binary").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in portions(b, at)):
-            texts = [main_text(x) for x in batch.column(at).to_pylist()]
-            rest = [(n, c) for i, (n, c) in enumerate(zip(kept, batch.columns, strict=True)) if i != at]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*(n for n, _ in rest), "text", "n_chars"])
+        for batch in (x for b in batches for x in portions(b, len(kept))):
+            texts = [main_text(x.as_buffer().to_pybytes().decode(errors="replace") if x.is_valid else None) for x in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    schema = pages.select(*[c for c in kept if c != "html"]).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return pages.select(*kept).mapInArrow(run, schema)
+    schema = inner.drop("html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    return inner.mapInArrow(run, schema).toDF(*kept, "text", "n_chars")

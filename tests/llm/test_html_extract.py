@@ -31,3 +31,21 @@ def test_odd_rows(spark):
     n = len(H.main_text(PAGE))
     assert got == sorted([("1", 0), ("2", 0), ("3", 0), ("4", n), ("4", n), ("None", 5000 * 7 - 1)])
     assert H.extract(pages.limit(0)).collect() == []
+
+
+def test_surges_and_dives_decide_within_an_article(monkeypatch):
+    gap = "<nav>n</nav><form>f</form><aside>a</aside>"
+    body = "".join(f"<p>Sentence number {i} of the article, long enough to count for its density.</p>" for i in range(6))
+    page = f"<article><p>by x</p>{gap}<h1>Top</h1>{gap}{body}{gap}<p>mid</p>{gap}{body}{gap}<p>Tag</p></article>"
+    text = H.main_text(page)
+    assert text.startswith("Top Sentence number 0") and " mid Sentence" in text and text.endswith("density.")
+    monkeypatch.setattr(H, "dense_span", lambda sizes, share: (0, len(sizes)))
+    assert H.main_text(page) == f"by x {text} Tag"
+
+
+def test_bytes_that_are_no_utf8_and_odd_names(spark):
+    pages = spark.createDataFrame([(1, "u", b"<article><p>a\xff b</p></article>", 5), (2, "u", None, 6)], "page_id long, url string, html binary, `a.b` int")
+    pages = pages.selectExpr("page_id", "url", "cast(html as string) html", "`a.b`")
+    out = H.extract(pages)
+    assert out.columns == ["page_id", "url", "a.b", "text", "n_chars"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "u", 5, "a\ufffd b", 4), (2, "u", 6, "", 0)]
