@@ -33,6 +33,10 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+#: Bytes of text that are encoded at once.
+PORTION = 1 << 20
+
+
 def _step(state: int, kind: int) -> tuple[int, bool]:
     """The state after a code point, and whether a piece begins at it."""
     if state == TWO_MORE:
@@ -154,7 +158,7 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class PieceCache:
     """piece -> its ids as little-endian unsigned 32-bit integers, of a bounded number of pieces; the half that was filled earlier goes when it is full."""
 
-    def __init__(self, ranks: dict[bytes, int], size: int = 1 << 18) -> None:
+    def __init__(self, ranks: dict[bytes, int], size: int = 1 << 17) -> None:
         self.ranks, self.size, self.new, self.old = ranks, size // 2, {}, {}
         self.merger = Merger(ranks)
 
@@ -370,7 +374,7 @@ def encode(df: DataFrame, vocabulary: str, column: str = "text", decoded: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
-        for batch in (x for b in batches for x in portions(b, at, 4 << 20)):
+        for batch in (x for b in batches for x in portions(b, at, PORTION)):
             ids = list(encode_column(batch.column(at), coder.cache))
             ends = [np.cumsum(coder.length[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
             made = [ids, ends, *[[coder.decode(x) for x in ids]] * decoded]
@@ -388,7 +392,7 @@ def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
-        for batch in (x for b in batches for x in portions(b, at, 4 << 20)):
+        for batch in (x for b in batches for x in portions(b, at, PORTION)):
             out = [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
 

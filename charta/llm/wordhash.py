@@ -8,6 +8,7 @@ different words collide is about 2**-56.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +77,21 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def settle() -> None:
+    """Give memory that is free back to the system; workers are reused by other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def portions(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of whole rows of about ``most`` bytes in its column ``at``, so that what is made of it stays small."""
+    """A batch in runs of whole rows of about ``most`` bytes in its column ``at``, so that what is made of it stays small; what was free after each run is given back."""
     column = batch.column(at)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     sums = np.cumsum(sizes)
@@ -87,6 +101,7 @@ def portions(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa
         end = max(row + 1, int(np.searchsorted(sums, done + most, "right")))
         yield batch.slice(row, end - row)
         row = end
+        settle()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
