@@ -35,11 +35,13 @@ def upserted(index: DataFrame, incoming: DataFrame, key: str = "source_id") -> D
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts by language and source, by language, by source and in all (grouping sets)."""
-    docs.createOrReplaceTempView("charta_statistics_input")
-    return docs.sparkSession.sql("""
+    return docs.sparkSession.sql(
+        """
         SELECT lang, source, CAST(grouping_id(lang, source) AS INT) AS level, count(*) AS n_docs, sum(n_chars) AS n_chars,
                min(n_chars) AS shortest, max(n_chars) AS longest
-        FROM charta_statistics_input GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""")
+        FROM {docs} GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""",
+        docs=docs,
+    )
 
 
 def cube(docs: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charta.functions.text import lines
 from charta.operators.lexical import overlap
-
+from charta.sources.workdir import written
 
 #: Item keys up to this number, items up to this many characters and pairs of document and item up to this number are broadcast; more are joined by shuffle.
 KEYS, CHARS, PAIRS = 1_000_000, 16_000_000, 100_000
@@ -76,17 +76,20 @@ def resolved(claims: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def hops(links: DataFrame, start: str, depth: int) -> DataFrame:
-    """(node, hop): what a chain of references reaches from ``start`` in at most ``depth`` steps, by the fewest steps."""
-    links.createOrReplaceTempView("charta_links")
-    return links.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(node, hop) AS (
-            SELECT :start, 0
-            UNION ALL
-            SELECT l.dst, r.hop + 1 FROM reach r JOIN charta_links l ON l.src = r.node WHERE r.hop < :depth)
-        SELECT node, min(hop) AS hop FROM reach GROUP BY node""",
-        args={"start": start, "depth": depth},
-    )
+    """(node, hop): what a chain of references (src, dst) reaches from ``start`` in at most ``depth`` steps, by the fewest steps.
+
+    Each step expands the nodes found last and leaves out those found before, so a node is expanded
+    once, however many paths lead to it. Nothing is gathered by the driver but whether a step found any.
+    """
+    spark, edges = links.sparkSession, links.select("src", "dst").distinct()
+    last = seen = written(spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hop")), "hops")
+    for hop in range(1, depth + 1):
+        found = edges.join(last, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).filter("node is not null").distinct()
+        last = written(found.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "hops")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen
 
 
 #: What a target's address or citation shows about the kind of evidence, first match counts.
@@ -113,6 +116,11 @@ def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
 
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What two inventories have in common, each row once."""
+    return a.intersect(b)
+
+
 ADDRESS = r"https?://[^\s)\]>\"']+"
 
 
@@ -170,7 +178,3 @@ def criteria_long(matrix: DataFrame, key: str, systems: list[str]) -> DataFrame:
 
 def criteria_wide(scores: DataFrame, key: str, systems: list[str]) -> DataFrame:
     return scores.groupBy(key).pivot("system", systems).agg(F.first("score"))
-
-
-def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

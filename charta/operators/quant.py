@@ -46,6 +46,19 @@ def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("running", F.round(F.sum("credits").over(Window.partitionBy("model").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)), 6)).select("model", "turn", "credits", "running")
 
 
+def in_periods(rows: DataFrame, at: str, periods: DataFrame, start: str, end: str, days: int = 7) -> DataFrame:
+    """Each row with every period that holds its time (start <= at < end), as an equi-join.
+
+    Periods are cut into spans of ``days`` days and rows meet the spans that they fall into, so no row
+    meets periods far from it. Periods with a null bound, or that end before they start, hold nothing.
+    """
+    width = days * 86400
+    span = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / width)
+    spans = periods.filter(F.col(start) < F.col(end)).withColumn("__span", F.explode(F.sequence(span(F.col(start)), span(F.col(end)))))
+    met = rows.withColumn("__span", span(F.col(at))).join(spans, "__span").drop("__span")
+    return met.filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """Each left row with the last value of its key that right has at or before it.
 

@@ -43,7 +43,36 @@ LETTERS = [("s1", "From: A. Example\nTo: B. Example\nBern, 18.1.1916\nText [7] a
 TURNS = [(1, "See https://dodis.ch/43445 and https://example.org/a?b=1."), (2, "As https://dodis.ch/43445 shows"), (3, "No address"), (4, "(https://example.org/c)")]
 ASKED = [("https://dodis.ch/43445",)]
 
+RUNS = [
+    (1, ["dhs", "EAUX"]),
+    (2, ["wiki", "The and attion to thanedble the, anea: Eriner thanea", "--lang", "en"]),
+    (3, ["wikipedia", "The and attion to thanedble the, anea: Eriner thanea", "--lang", "de"]),
+    (4, ["dodis-doc", "43"]),
+    (5, ["dodis-document", "not a number"]),
+    (6, ["url", "https://thther.example.org/en/685"]),
+    (7, ["generic", "http://nowhere.example/"]),
+    (8, ["enpa", "the thanea", "--start-year", "2024", "--end-year", "2024"]),
+    (9, ["enewspaper", "the", "--end-year", "2023"]),
+    (10, ["elite", "Wille", "Ulrich"]),
+    (11, ["dodis-p", "Delamuraz", "Jean", "Pascal"]),
+    (12, ["votation", "7"]),
+    (13, ["dodis", "http://ththre.example.com/anything?page=2&ref=x"]),
+    (14, ["enpa-content", "https://thther.example.org/en/685"]),
+    (15, ["dhs", "eaux", "--dry-run"]),
+    (16, ["dhs"]),
+    (17, ["nosuch", "x"]),
+]
+PERSONS = [("dodis", 1, "Jean Pascal Delamuraz"), ("dodis", 2, "Ulrich Wille"), ("elitesuisse", 7, "Ulrich Wille"), ("elitesuisse", 8, "Émile Müller")]
+PERIODS = [("first", "2024-01-03 00:00:00", "2024-01-05 12:00:00"), ("second", "2024-01-05 06:00:00", "2024-01-20 00:00:00"), ("empty", "2024-01-09 00:00:00", "2024-01-09 00:00:00"), ("past", "2023-01-01 00:00:00", "2023-02-01 00:00:00")]
+TOOLS = [("python", "Python 3.12.4", "3.12"), ("git", "git version 2.9.0.windows.1", "2.10"), ("java", "17", "17.0.0"), ("node", "v18.19.1", "18.2"), ("none", "not found", "1.0"), ("long", "1.2.3.4", "1.2.3")]
+COSTS = [(1, "fetch | one", "1.1"), (2, "index", None), (3, "a \"quoted\", name", "2.5")]
+
 SCHEMAS = {
+    "runs": (RUNS, "case_id int, args array<string>"),
+    "persons": (PERSONS, "index string, record_id int, full_name string"),
+    "periods": (PERIODS, "period string, starts string, ends string"),
+    "tools": (TOOLS, "tool string, found string, least string"),
+    "costs": (COSTS, "place int, skill string, credits string"),
     "requests": (REQUESTS, "case_id int, args array<string>"),
     "claims": (CLAIMS, "claim string, source_id string, provider string, claim_line int, ref_no int"),
     "refs": (REFS, "source_id string, ref_no int, line_no int, target_url string, citation string"),

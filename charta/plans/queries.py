@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from charta.functions import python, versions
 from charta.functions import text as T
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
 from charta.plans.fixtures import table, values
-from charta.sources import connectors, fetch, registry
-from charta.sources.tables import load
+from charta.sources import connectors, fetch, registry, run
+from charta.sources.tables import ENTITIES, counted, created, described, emptied, load
+from charta.sources.workdir import fresh_path
 from charta.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +81,7 @@ def registry_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.unknown(table(spark, "requests"), registry.registry(spark))
 
 
-_HELP_TAIL = " UNION ALL ".join(f"SELECT 10000, {i}, '  ' || rpad('{o}', 18, ' ') || '{t.replace(chr(39), chr(39) * 2)}'" for i, (o, t) in enumerate(registry.OPTIONS))
+_HELP_TAIL = " UNION ALL ".join("SELECT {}, {}, '{}'".format(a, b, line.replace("'", "''")) for a, b, line in registry.help_frame())
 
 
 @_query(f"""WITH {_REG}, g AS (SELECT alias AS name, '  (alias: ' || string_agg(name, ', ' ORDER BY ordinal) || ')' AS listed FROM registry WHERE alias IS NOT NULL GROUP BY alias),
@@ -113,6 +116,12 @@ def cli_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("extra").withColumn("command", F.array_join("command", "|"))
 
 
+@_query(f"WITH {_REG}, {values('requests')} SELECT c.case_id, '/srv/charta/' || r.script AS path FROM requests c JOIN registry k ON k.name = lower(c.args[1]) JOIN registry r ON r.name = coalesce(k.alias, k.name) WHERE c.args[1] <> 'help'")
+def cli_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = registry.dispatched(table(spark, "requests"), registry.registry(spark), root="/srv/charta/")
+    return out.filter("outcome = 'run'").select("case_id", F.get("command", F.lit(2)).alias("path"))
+
+
 @_query(f"WITH {_REG}, {values('requests')} SELECT c.case_id, r.name FROM requests c JOIN registry k ON k.name = lower(c.args[1]) JOIN registry r ON r.name = coalesce(k.alias, k.name) WHERE c.args[1] <> 'help' AND r.name NOT IN ('dhs', 'wikipedia')")
 def cli_missing_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = spark.createDataFrame([("connectors/dhs.py",), ("connectors/wikipedia.py",)], "script string")
@@ -131,6 +140,11 @@ def wrapper_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # what connectors select
 
 _FIRST = "string_split(text, chr(10))[1]"
+# DuckDB's distance counts bytes: each accented letter stands as one of ASCII that no lower-cased word has
+_ASCII = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ012345')"
+_FOLD = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
+_SLUG = f"regexp_replace(regexp_replace(replace({_FOLD}, 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_NORMAL = f"array_to_string(list_sort(string_split(trim(regexp_replace(translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}'), '[\\s,]+', ' ', 'g')), ' ')), ' ')"
 
 
 @_query(f"SELECT doc_id, lang FROM documents WHERE contains(translate(lower({_FIRST}), '{T.ACCENTED}', '{T.PLAIN}'), 'eaux')")
@@ -153,7 +167,7 @@ def fetch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.search(load(spark, sf_dir, "pages"), "www.ththea.example.com", ref="x").select("page_id", "url")
 
 
-@_query("WITH w AS (SELECT url FROM pages WHERE page_id % 7 = 0 UNION SELECT 'http://nowhere.example/') SELECT w.url, page_id, length(html) AS n_chars FROM w LEFT JOIN pages USING (url)")
+@_query("WITH w AS (SELECT url FROM pages UNION SELECT 'http://nowhere.example/') SELECT w.url, page_id, length(html) AS n_chars FROM w LEFT JOIN pages USING (url)")
 def fetch_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     wanted = pages.select("url").unionByName(spark.createDataFrame([("http://nowhere.example/",)], "url string"))
@@ -166,6 +180,118 @@ def fetch_vote_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.sources_of(F.broadcast(votes), load(spark, sf_dir, "documents").select("source", "doc_id"), "source")
 
 
+_RAN = f"""d AS (SELECT doc_id, lang, source, text, {_FIRST} AS heading, {_SLUG.format(_FIRST)} AS slug FROM documents),
+    o AS (SELECT x.*, r.name FROM (SELECT case_id, args[1] AS key, main, extra FROM p WHERE len(args) > 0) x JOIN registry k ON k.name = lower(key) JOIN registry r ON r.name = coalesce(k.alias, k.name)),
+    c AS (SELECT *, extra[list_position(extra, '--lang') + 1] AS lang_, extra[list_position(extra, '--start-year') + 1]::INT AS from_, extra[list_position(extra, '--end-year') + 1]::INT AS to_,
+        regexp_extract(main, '://([^/?#]*)', 1) AS host, nullif(regexp_extract(main, '\\?([^#]*)', 1), '') AS query FROM o WHERE main <> '' AND NOT list_contains(extra, '--dry-run')),
+    g AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages)"""
+
+
+@_query(f"""WITH {_REG}, {values('runs').replace('runs(', 'requests(', 1)}, {values('persons').replace('index,', '"index",')}, {_SPLIT}, {_RAN}
+    SELECT case_id, name, doc_id::VARCHAR AS ref, heading AS title FROM c JOIN d ON name = 'dhs' AND contains({_FOLD.format('heading')}, {_FOLD.format('main')})
+    UNION ALL SELECT case_id, name, doc_id::VARCHAR, heading FROM c JOIN d ON name = 'wikipedia' AND slug = {_SLUG.format('main')} AND (lang_ IS NULL OR lang = lang_)
+    UNION ALL SELECT case_id, name, doc_id::VARCHAR, heading FROM c JOIN d ON name = 'dodis-document' AND doc_id = try_cast(main AS BIGINT)
+    UNION ALL SELECT case_id, name, doc_id::VARCHAR, heading FROM c JOIN d ON name = 'swissvote' AND source = 'src' || main
+    UNION ALL SELECT case_id, name, page_id::VARCHAR, title FROM c JOIN g ON name IN ('url', 'enewspaper-content') AND url = main
+    UNION ALL SELECT case_id, name, page_id::VARCHAR, title FROM c JOIN g ON name = 'dodis' AND regexp_extract(url, '://([^/?#]*)', 1) = host AND nullif(regexp_extract(url, '\\?([^#]*)', 1), '') = query
+    UNION ALL SELECT case_id, name, record_id::VARCHAR, full_name FROM c JOIN persons ON "index" = CASE name WHEN 'dodis-person' THEN 'dodis' WHEN 'elitesuisse' THEN 'elitesuisse' END AND {_NORMAL.format('main')} = {_NORMAL.format('full_name')}
+    UNION ALL SELECT case_id, name, doc_id::VARCHAR, heading FROM c JOIN (SELECT d.*, year(ts) AS y, {_WORDS} AS w FROM d JOIN events ON event_id = doc_id) a
+        ON name = 'enewspaper' AND list_has_all(w, regexp_extract_all(lower(main), '\\p{{L}}+')) AND (from_ IS NULL OR y >= from_) AND (to_ IS NULL OR y <= to_)""")
+def connector_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = registry.dispatched(table(spark, "runs"), registry.registry(spark))
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", T.html_title(F.col("html")).alias("title"))
+    return run.executed(asked, {"documents": load(spark, sf_dir, "documents"), "pages": pages, "persons": table(spark, "persons"), "articles": _articles(spark, sf_dir)})
+
+
+@_query(f"WITH {values('persons').replace('index,', '"index",')}, n(name) AS (VALUES ('Wille Ulrich'), ('muller  EMILE'), ('Nobody')) SELECT name, record_id, full_name FROM n LEFT JOIN persons ON \"index\" = 'elitesuisse' AND {_NORMAL.format('name')} = {_NORMAL.format('full_name')}")
+def elite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("Wille Ulrich",), ("muller  EMILE",), ("Nobody",)], "name string")
+    return entities.looked_up(names, table(spark, "persons").filter("index = 'elitesuisse'").drop("index"))
+
+
+@_query("SELECT page_id, url, length(html) AS n_chars FROM pages WHERE url IN (SELECT url FROM pages) UNION ALL SELECT NULL, 'http://nowhere.example/', NULL")
+def fetch_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = load(spark, sf_dir, "pages"), fresh_path(spark, "list")
+    spark.createDataFrame([("http://nowhere.example/",)], "url string").unionByName(pages.select("url")).write.json(path)
+    return run.listed_contents(spark, path, pages).select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
+
+
+@_query("SELECT source AS provider, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents WHERE source IS NOT NULL GROUP BY source")
+def source_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "folder")
+    connectors.write_documents(load(spark, sf_dir, "documents").select(F.col("source").alias("provider"), "text"), path)
+    return connectors.read_documents(spark, path).groupBy("provider").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@_query("SELECT 'json' AS kind, page_id, length(url) AS n_chars FROM pages")
+def read_any_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "any")
+    load(spark, sf_dir, "pages").select("page_id", "url").repartition(3).write.json(path)
+    found = connectors.read_any(spark, path).filter("kind = 'json'").select("kind", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    row = F.from_json("line", "page_id long, url string")
+    return found.select("kind", row["page_id"].alias("page_id"), F.length(row["url"]).cast("long").alias("n_chars"))
+
+
+# tables and versions
+
+_ENTITY_ROWS = [(name, i, c.split(" ")[0], c.split(" ")[1]) for name, columns in ENTITIES.items() for i, c in enumerate(columns.replace("10,2", "10;2").split(", "))]
+
+
+@_query(f"WITH {values('e', _ENTITY_ROWS, 'table_name, position, column_name, data_type')} SELECT table_name, position, column_name, replace(data_type, ';', ',') AS data_type FROM e")
+def db_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"charta_{uuid.uuid4().hex}"
+    created(spark, name, fresh_path(spark, "database"))
+    out = described(spark, name)
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    return out
+
+
+@_query("SELECT 'before' AS moment, 'source' AS name, count(*) AS n FROM documents UNION ALL SELECT 'after', 'source', count(*) FROM documents UNION ALL SELECT moment, name, n FROM (VALUES ('before', 'mention', 2), ('after', 'mention', 0)) t(moment, name, n)")
+def db_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"charta_{uuid.uuid4().hex}"
+    created(spark, name, fresh_path(spark, "database"))
+    try:
+        described_ = index.described(load(spark, sf_dir, "documents"))
+        spark.createDataFrame([("s1", 1, "A B", "person", "en"), ("s1", 2, "C D", None, "en")], ENTITIES["mention"]).write.insertInto(f"{name}.mention")
+        columns = [c.split(" ")[0] for c in ENTITIES["source"].split(", ")]
+        described_.select(*[(F.col(c) if c in described_.columns else F.lit(None)).alias(c) for c in columns]).write.insertInto(f"{name}.source")
+        rows = [("before", r["name"], r["n"]) for r in counted(spark, name).collect()]
+        emptied(spark, name, ("mention",))
+        rows += [("after", r["name"], r["n"]) for r in counted(spark, name).collect()]
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+    return spark.createDataFrame([r for r in rows if r[1] in ("source", "mention")], "moment string, name string, n long")
+
+
+@_query(f"""WITH {values('costs')}, r AS (SELECT row_number() OVER (ORDER BY place)::INT + 2 AS line_no, '| ' || place || ' | ' || replace(skill, '|', '\\|') || ' | ' || coalesce(credits, '') || ' |' AS line FROM costs)
+    SELECT 1 AS line_no, '| place | skill | credits |' AS line UNION ALL SELECT 2, '| --- | --- | --- |' UNION ALL SELECT * FROM r""")
+def tabular_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "table")
+    table(spark, "costs").coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    return connectors.table_lines(connectors.read_delimited(spark, path, "place int, skill string, credits string"), "place")
+
+
+_VERSION = "list_transform(string_split(regexp_replace(regexp_extract({}, '(\\d+(?:\\.\\d+)*)', 1), '(\\.0+)+$', ''), '.'), lambda x: x::BIGINT)"
+
+
+@_query(f"WITH {values('tools')} SELECT tool, CASE WHEN regexp_matches(found, '\\d') THEN {_VERSION.format('found')} >= {_VERSION.format('least')} END AS fits FROM tools")
+def version_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, "tools").select("tool", versions.at_least(F.col("found"), F.col("least")).alias("fits"))
+
+
+# functions in Python, for what no built-in expression says
+
+@_query("SELECT doc_id, nfc_normalize(strip_accents(text)) AS bare FROM documents")
+def unaccented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", python.unaccented("text").alias("bare"))
+
+
+@_query(f"SELECT doc_id, line_no, length(line)::INT AS n_chars, string_split(line, ' ')[1] AS first FROM (SELECT doc_id, {_LINES} FROM documents WHERE text IS NOT NULL)")
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.lateralJoin(python.LineTable(F.col("text").outer())).select("doc_id", "line_no", "n_chars", "first")
+
+
 # normalisation
 
 _HTML = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
@@ -223,15 +349,12 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_lines(spark, sf_dir).select("doc_id", "line_no", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
-_FOLD = f"translate(lower(substr(text, 1, 60)), '{T.ACCENTED}', '{T.PLAIN}')"
-
-
-@_query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
+@_query(f"SELECT doc_id, {_FOLD.format('text')} AS folded FROM documents")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.folded(F.col("text")).alias("folded"))
 
 
-@_query(f"SELECT doc_id, 'sources/' || source || '/' || regexp_replace(regexp_replace(replace({_FOLD}, 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' || source || '_' || lpad(doc_id::VARCHAR, 6, '0') || '_' || lang || '.md' AS path FROM documents")
+@_query(f"SELECT doc_id, 'sources/' || source || '/' || regexp_replace(regexp_replace(replace({_FOLD.format(_FIRST)}, 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' || source || '_' || lpad(doc_id::VARCHAR, 6, '0') || '_' || lang || '.md' AS path FROM documents")
 def doc_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = T.source_path(F.col("source"), fetch.first_line(F.col("text")), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.col("lang"))
     return load(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
@@ -314,8 +437,9 @@ def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS term FROM documents), x AS (SELECT DISTINCT unnest({_WORDS}) AS term FROM benchmark),
-    u AS (SELECT term FROM w WHERE term NOT IN (SELECT term FROM x) AND regexp_full_match(term, '[a-z]{{5,}}')), y AS (SELECT term FROM x WHERE regexp_full_match(term, '[a-z]{{5,}}')),
-    n AS (SELECT u.term, y.term AS suggestion, levenshtein(u.term, y.term)::INT AS distance FROM u JOIN y ON u.term[1] = y.term[1] AND abs(length(u.term) - length(y.term)) <= 1 WHERE levenshtein(u.term, y.term) <= 1)
+    u AS (SELECT term, {_ASCII.format('term')} AS k FROM w WHERE term NOT IN (SELECT term FROM x)), y AS (SELECT term, {_ASCII.format('term')} AS k FROM x),
+    d AS (SELECT len(k) + unnest([-1, 0, 1]) AS n, term, k FROM u),
+    n AS (SELECT d.term, y.term AS suggestion FROM d JOIN y ON d.n = len(y.k) WHERE levenshtein(d.k, y.k) <= 1)
     SELECT term, min(suggestion) AS suggestion, 1::INT AS distance FROM n GROUP BY term""")
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = load(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
@@ -325,6 +449,16 @@ def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # retrieval and provenance
 
+_QUERY_VECTOR = [round(0.05 * ((7 * i) % 13 - 6), 2) for i in range(64)]
+
+
+@_query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE len(embedding) = 64),
+    s AS (SELECT vec_id, round(list_cosine_similarity(v, {_QUERY_VECTOR}::DOUBLE[]), 6) AS similarity FROM v)
+    SELECT *, row_number() OVER (ORDER BY similarity DESC, vec_id)::INT AS rank FROM s ORDER BY similarity DESC, vec_id LIMIT 10""")
+def embedding_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.nearest(load(spark, sf_dir, "embeddings"), _QUERY_VECTOR)
+
+
 _BM25 = f"""p AS (SELECT source, doc_id, line_no, line AS text FROM (SELECT source, doc_id, {_LINES} FROM documents) WHERE trim(line) <> ''),
     w AS (SELECT *, {_WORDS} AS w FROM p), c AS (SELECT *, len(w) AS n, {", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(BM25_TERMS))} FROM w),
     t AS (SELECT count(*) AS rows_, avg(n) AS mean, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(BM25_TERMS)))} FROM c),
@@ -342,7 +476,10 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.bm25(retrieve.passages(load(spark, sf_dir, "documents")), BM25_TERMS, ["source", "doc_id", "line_no"]).drop("text")
 
 
-_CITE = f"l AS (SELECT source, doc_id, {_LINES} FROM documents), c AS (SELECT item_id, doc_id, line_no, source FROM l JOIN benchmark b ON contains(line, b.text) WHERE length(b.text) > 0 AND trim(line) <> '')"
+# an item's occurrences stand between the parts that it cuts a text into; the line of one is told by the text before it
+_CITE = """x AS (SELECT item_id, doc_id, source, b.text AS item, string_split(d.text, b.text) AS parts FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0),
+    y AS (SELECT item_id, doc_id, source, list_transform(parts, lambda p: length(p) - length(replace(p, chr(10), ''))) AS breaks, length(item) - length(replace(item, chr(10), '')) AS own, unnest(range(1, len(parts))) AS k FROM x),
+    c AS (SELECT DISTINCT item_id, doc_id, source, (1 + list_sum(breaks[1:k]) + (k - 1) * own)::INT AS line_no FROM y)"""
 
 
 @_query(f"WITH {_CITE} SELECT item_id, doc_id, line_no FROM c")
@@ -405,6 +542,11 @@ def inventory_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@_query(f"WITH {values('declared')}, {values('used')} SELECT source_id FROM declared INTERSECT SELECT source_id FROM used")
+def inventory_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.in_both(table(spark, "declared"), table(spark, "used"))
+
+
 @_query(f"WITH {values('turns')}, {values('asked')}, u AS (SELECT unnest(regexp_extract_all(text, '(https?://[^\\s)\\]>\"'']+)', 1)) AS url FROM turns) SELECT url, regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n, url IN (SELECT url FROM asked) AS was_requested FROM u GROUP BY url")
 def url_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.cited_addresses(table(spark, "turns"), table(spark, "asked"))
@@ -449,11 +591,14 @@ def criteria_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.criteria_long(table(spark, "criteria"), "criterion", ["one", "other"])
 
 
-@_query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY lang")
+_SOURCES = [f"src{i}" for i in range(20)]
+
+
+@_query(f"SELECT lang, {', '.join(f"count(*) FILTER (source = '{s}') AS {s}" for s in _SOURCES)} FROM documents GROUP BY lang")
 def criteria_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     counts = docs.groupBy("lang", F.col("source").alias("system")).agg(F.count("*").alias("score"))
-    return provenance.criteria_wide(counts, "lang", ["src0", "src1", "src2"]).fillna(0)
+    return provenance.criteria_wide(counts, "lang", _SOURCES).fillna(0)
 
 
 @_query(f"WITH {_REG}, q(question) AS (VALUES ('record of a person by name'), ('newspaper articles that match'), ('any address'), ('nothing here fits xyz')), k AS (SELECT question, r.name, len(list_intersect({_SETS.format('question')}, {_SETS.format('r.help')})) AS score FROM q, registry r WHERE r.alias IS NULL) SELECT question, arg_max(name, score * 100 - ascii(name) / 1000) AS name, max(score) AS score FROM (SELECT * FROM k WHERE score > 0) GROUP BY question".replace("arg_max(name, score * 100 - ascii(name) / 1000)", "list(name ORDER BY score DESC, name)[1]"))
@@ -483,7 +628,7 @@ def entity_top_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = f"translate(lower(surface), '{T.ACCENTED}', '{T.PLAIN}')"
 
 
-@_query(f"WITH {_MENTIONS}, g AS (SELECT DISTINCT {_KEY} AS key, CASE WHEN length(surface) % 2 = 0 THEN 'place' ELSE 'person' END AS entity_type FROM m WHERE doc_id < 100) SELECT doc_id, line_no, surface, entity_type FROM m LEFT JOIN g ON key = {_KEY}")
+@_query(f"WITH {_MENTIONS}, g AS (SELECT DISTINCT {_KEY} AS key, CASE WHEN length(surface) % 2 = 0 THEN 'place' ELSE 'person' END AS entity_type FROM m) SELECT doc_id, line_no, surface, entity_type FROM m LEFT JOIN g ON key = {_KEY}")
 def entity_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = entities.mentions(load(spark, sf_dir, "documents"))
     kind = F.when(F.length("surface") % 2 == 0, "place").otherwise("person")
@@ -491,15 +636,12 @@ def entity_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.typed(found, gazetteer).select("doc_id", "line_no", "surface", "entity_type")
 
 
-_NORMAL = f"array_to_string(list_sort(string_split(trim(regexp_replace(translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}'), '[\\s,]+', ' ', 'g')), ' ')), ' ')"
-
-
 @_query(f"WITH {values('names')}, {values('records')} SELECT name, record_id, full_name FROM names LEFT JOIN records ON {_NORMAL.format('name')} = {_NORMAL.format('full_name')}")
 def person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.looked_up(table(spark, "names"), table(spark, "records"))
 
 
-@_query(f"WITH x AS (SELECT DISTINCT unnest({_WORDS}) AS s FROM benchmark), y AS (SELECT s FROM x WHERE regexp_full_match(s, '[a-z]{{4,}}')) SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s)::INT AS distance FROM y a JOIN y b ON abs(length(a.s) - length(b.s)) <= 2 WHERE levenshtein(a.s, b.s) <= 2")
+@_query(f"WITH x AS (SELECT DISTINCT unnest({_WORDS}) AS s FROM benchmark), y AS (SELECT s, {_ASCII.format('s')} AS k FROM x) SELECT a.s AS a, b.s AS b, levenshtein(a.k, b.k)::INT AS distance FROM y a JOIN y b ON abs(length(a.s) - length(b.s)) <= 2 WHERE levenshtein(a.k, b.k) <= 2")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = load(spark, sf_dir, "benchmark").select(F.explode(T.words(F.col("text"))).alias("s")).distinct()
     return entities.fuzzy(words, words)
@@ -563,10 +705,21 @@ def events_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quant.as_of(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), right, "user_id", "ts", "since", "version").select("event_id", "user_id", "version_as_of")
 
 
-@_query("SELECT event_id, year(ts)::INT AS year FROM events WHERE year(ts) BETWEEN 2020 AND 2024 AND event_type = 'click'")
+@_query(f"SELECT year(ts)::INT AS year, doc_id, {_FIRST} AS title FROM documents JOIN events ON event_id = doc_id WHERE year(ts) BETWEEN 2020 AND 2024 AND list_has_all({_WORDS}, ['the', 'of']) ORDER BY year, doc_id")
 def search_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").select("event_id", F.year("ts").alias("year"), F.col("event_type").alias("text"))
-    return connectors.search_list(rows, "click", 2020, 2024).select("event_id", "year")
+    return run.article_list(_articles(spark, sf_dir), "the of", 2020, 2024)
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the year of the event of the same number, as newspaper articles."""
+    events = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.year("ts").alias("year"))
+    return load(spark, sf_dir, "documents").join(events, "doc_id").select("doc_id", "text", "year")
+
+
+@_query(f"WITH {values('periods')} SELECT period, event_id, user_id FROM events JOIN periods ON ts >= starts::TIMESTAMP AND ts < ends::TIMESTAMP")
+def events_in_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    periods = table(spark, "periods").select("period", *[F.to_timestamp_ntz(c).alias(c) for c in ("starts", "ends")])
+    return quant.in_periods(load(spark, sf_dir, "events"), "ts", F.broadcast(periods), "starts", "ends").select("period", "event_id", "user_id")
 
 
 # windows over events
@@ -593,9 +746,9 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_SQL["events_tumbling"])
 def events_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.run_to_memory(windows.tumbling(windows.stream(spark, sf_dir)), "charta_tumbling", "complete")
+    return windows.run_to_table(windows.tumbling(windows.stream(spark, sf_dir)), "complete")
 
 
 @_query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def events_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.run_to_memory(windows.running_totals(windows.stream(spark, sf_dir)), "charta_state", "update")
+    return windows.run_to_table(windows.running_totals(windows.stream(spark, sf_dir)), "update", ["user_id"])

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -42,10 +41,10 @@ def register(spark: SparkSession) -> None:
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """(path, provider, text) of text files under a folder with one folder for each provider."""
+    """(path, provider, text) of text files under a folder with one folder for each provider, named by it alone or as a partition."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return named.withColumn("provider", F.element_at(F.split("path", "/"), -2))
+    return named.withColumn("provider", F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^provider=", ""))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +60,17 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("provider string, external_id string, url string, lang string, title string").json(path)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").csv(path)
+def read_delimited(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
+    """Delimited text with a header; quoted values may hold separators and line breaks."""
+    return spark.read.schema(schema).option("header", "true").option("sep", separator).option("multiLine", "true").option("escape", '"').csv(path)
+
+
+def table_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(line_no, line): a table as Markdown text, rows in the order of ``key``; for tables that a person reads."""
+    cell = lambda c: F.concat(F.lit(" "), F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(" |"))
+    body = rows.select(F.row_number().over(Window.orderBy(F.col(f"`{key}`"))).alias("at"), F.concat(F.lit("|"), *[cell(c) for c in rows.columns]).alias("line"))
+    head = [(1, "| " + " | ".join(rows.columns) + " |"), (2, "|" + " --- |" * len(rows.columns))]
+    return rows.sparkSession.createDataFrame(head, "line_no int, line string").unionByName(body.select((F.col("at") + 2).alias("line_no"), "line"))
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
@@ -76,24 +84,20 @@ def url_parts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"))
 
 
-def search_list(articles: DataFrame, term: str, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
-    """Articles (year, text ...) that have a word, between two years (both included)."""
-    found = articles.filter(F.array_contains(F.split(F.lower("text"), r"\W+"), term.lower()))
-    if start_year is not None:
-        found = found.filter(F.col("year") >= start_year)
-    if end_year is not None:
-        found = found.filter(F.col("year") <= end_year)
-    return found
-
-
 def write_markdown(sources: DataFrame, path: str) -> None:
     """Sources (provider, text) as text files, a folder for each provider."""
     sources.select("provider", "text").write.mode("overwrite").partitionBy("provider").text(path, lineSep="\n")
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").partitionBy("provider").parquet(path)
+def write_documents(sources: DataFrame, path: str) -> None:
+    """Sources (provider, text) as JSON lines, a folder for each provider; line breaks in a text stay in it. Sources without a provider stay out."""
+    sources.select("provider", "text").filter("provider is not null").write.partitionBy("provider").json(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(provider, text) of a folder that ``write_documents`` wrote; only the folders of providers that are asked for are read."""
+    return spark.read.schema("text string, provider string").json(path)
 
 
-def host_of(url: str) -> str:
-    return urlsplit(url).hostname or ""
+def write_index(index: DataFrame, path: str) -> None:
+    index.write.mode("overwrite").partitionBy("provider").parquet(path)

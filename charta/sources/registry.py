@@ -26,6 +26,15 @@ CONNECTORS = [
 ]
 #: Tokens that ask for help; they are matched as they are written.
 HELP_WORDS = ["-h", "--help", "help"]
+#: What the examples of the help text ask for, one each line.
+EXAMPLES = [
+    'dhs "affaire des colonels"', "dhs affaire des colonels", 'wikipedia "affaire des colonels"', "wikipedia affaire des colonels --lang de",
+    'dodis-person "Jean Pascal Delamuraz"', 'elitesuisse "Thierry Pun"', 'enewspaper "affaire des colonels" --start-year 1900 --end-year 1960',
+    'enewspaper-content "https://www.e-newspaperarchives.ch/?a=d&d=..."', 'url "https://example.com/document.pdf"', "swissvote 639",
+    'dodis "https://dodis.ch/search?q=panama&c=Document"', "dodis-document 43445",
+]
+#: Lines before the connectors, before the examples and before the options.
+HEADS = (["Usage: fetch <source> <request> [further options]", "", "Sources:"], ["", "Examples:"], ["", "Options, passed on to the connector:"])
 #: Options that every connector gets passed through.
 OPTIONS = [("--dry-run", "Check without downloading"), ("--out-dir <dir>", "Folder for output"), ("--help", "The connector's own help")]
 #: Arguments that the wrapper of the database commands hands on.
@@ -67,16 +76,22 @@ def aliases(registry_: DataFrame) -> DataFrame:
 
 
 def help_lines(registry_: DataFrame) -> DataFrame:
-    """(line_no, line): the help text, one connector with its aliases, description and usage at a time, then the options."""
+    """(line_no, line): the help text: usage, each connector with its aliases, description and usage, examples and options."""
     rows = canonical(registry_).join(aliases(registry_).select("name", "listed"), "name")
     each = rows.select("ordinal", F.posexplode(F.array(F.concat(F.lit("  "), "name", "listed"), F.concat(F.lit("    "), "help"), F.concat(F.lit("    fetch "), "name", F.lit(" <"), F.regexp_replace("flag", "^-+", ""), F.lit(">")))).alias("part", "line"))
     spark = registry_.sparkSession
-    tail = spark.createDataFrame([(10_000, i, f"  {o:<18}{text}") for i, (o, text) in enumerate(OPTIONS)], "ordinal int, part int, line string")
+    tail = spark.createDataFrame(help_frame(), "ordinal int, part int, line string")
     spot = F.struct("ordinal", "part")
     lines = each.unionByName(tail).agg(F.sort_array(F.collect_list(F.struct(spot.alias("spot"), "line"))).alias("all"))
     return lines.select(F.posexplode(F.col("all.line")).alias("line_no", "line")).select((F.col("line_no") + 1).alias("line_no"), "line")
 
 
+def help_frame() -> list[tuple[int, int, str]]:
+    """(block, line, text) of the help text around the connectors, which are blocks 0 and up."""
+    blocks = {-1: HEADS[0], 10_000: [*HEADS[1], *[f"  fetch {e}" for e in EXAMPLES]], 10_001: [*HEADS[2], *[f"  {o:<18}{text}" for o, text in OPTIONS]]}
+    return [(block, i, line) for block, lines in blocks.items() for i, line in enumerate(lines)]
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")

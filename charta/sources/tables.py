@@ -37,6 +37,32 @@ def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL({**TABLES, **ENTITIES}[name])
 
 
+def created(spark: SparkSession, database: str, location: str) -> list[str]:
+    """The corpus entities as empty Parquet tables in a database of their own, those that are there already as they are; their names."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
+    for name, columns in ENTITIES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
+    return [f"{database}.{name}" for name in ENTITIES]
+
+
+def emptied(spark: SparkSession, database: str, names: tuple[str, ...]) -> None:
+    """Derived tables lose their rows and keep their columns."""
+    for name in names:
+        spark.sql(f"TRUNCATE TABLE `{database}`.`{name}`")
+
+
+def counted(spark: SparkSession, database: str) -> DataFrame:
+    """(name, n): rows of each table of a database."""
+    each = [f"SELECT '{t.name}' AS name, count(*) AS n FROM `{database}`.`{t.name}`" for t in spark.catalog.listTables(database) if not t.isTemporary]
+    return spark.sql(" UNION ALL ".join(sorted(each)))
+
+
+def described(spark: SparkSession, database: str) -> DataFrame:
+    """(table_name, position, column_name, data_type) of a database."""
+    rows = [(t.name, i, c.name, c.dataType) for t in spark.catalog.listTables(database) if not t.isTemporary for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"))]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's Parquet files under ``sf_dir``, with its declared schema."""
     return spark.read.schema(schema(name)).parquet(f"{sf_dir}/{name}.parquet")

@@ -8,9 +8,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from charta.sources.tables import schema
+from charta.sources.workdir import fresh_path
 
 
 def stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
@@ -64,8 +66,26 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_totals, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_memory(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return the table of its results."""
-    query = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(out: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and return its results, which each batch writes to the shared folder.
+
+    append: all rows. complete: those of the last batch. update: of each of ``keys`` the rows of the
+    last batch that has it. A batch that is run again replaces what it wrote. Nothing is gathered by
+    the driver.
+    """
+    spark, path = out.sparkSession, fresh_path(out.sparkSession, "stream")
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = out.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return out.sparkSession.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], out.schema)
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    elif mode == "update":
+        rest = [c for c in out.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    return rows.select(*out.columns)

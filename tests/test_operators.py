@@ -60,7 +60,7 @@ def test_text_sources_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("dhs", "# Title"), ("wiki", "Text")], "provider string, text string")
     connectors.write_markdown(rows, str(tmp_path / "out"))
     got = connectors.read_texts(spark, str(tmp_path / "out"), "*.txt")
-    assert {(r["provider"], r["text"].strip()) for r in got.collect()} == {("provider=dhs", "# Title"), ("provider=wiki", "Text")}
+    assert {(r["provider"], r["text"].strip()) for r in got.collect()} == {("dhs", "# Title"), ("wiki", "Text")}
     assert connectors.read_any(spark, str(tmp_path / "out")).filter("kind = 'txt' and text is not null").count() == 2
 
 
@@ -98,4 +98,33 @@ def test_repeats_in_a_stream_count_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5), (1, 5), (2, 6)], "event_id long, s int").withColumn("ts", F.timestamp_seconds("s"))
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert windows.run_to_memory(windows.without_repeats(stream), "once").count() == 2
+    assert windows.run_to_table(windows.without_repeats(stream)).count() == 2
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    rows = [(i, i, i % 3, "ab"[i % 2], float(i), "") for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, s int, user_id long, event_type string, value double, props string")
+    events = events.withColumn("ts", F.timestamp_seconds(F.col("s") * 3600).cast("timestamp_ntz")).drop("s")
+    for k in range(4):
+        events.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    files = lambda: windows.timed(spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events.parquet")))
+    got = sorted(tuple(r) for r in windows.run_to_table(windows.running_totals(files()), "update", ["user_id"]).collect())
+    assert got == [(u, len(range(u, 20, 3)), float(sum(range(u, 20, 3)))) for u in range(3)]
+    want = sorted(map(str, windows.tumbling(windows.timed(spark.read.parquet(str(tmp_path / "events.parquet")))).collect()))
+    assert sorted(map(str, windows.run_to_table(windows.tumbling(files()), "complete").collect())) == want
+
+
+def test_hops_of_a_dense_graph_take_few_steps(spark):
+    n = 14
+    links = spark.createDataFrame([(f"a{i}", f"a{j}") for i in range(n) for j in range(n)] + [("a1", "end"), ("a2", None)], "src string, dst string")
+    got = dict(tuple(r) for r in provenance.hops(links, "a0", 12).collect())
+    assert got == {"a0": 0, **{f"a{i}": 1 for i in range(1, n)}, "end": 2}
+
+
+def test_sketches_are_near_the_exact_values(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 700}", "ab"[i % 2], i % 500) for i in range(4000)] + [(9000, None, "a", None), (9001, "", "c", 0)], "doc_id long, text string, lang string, n_chars long")
+    got = {r["lang"]: r for r in index.approximate_statistics(docs).collect()}
+    exact = {r["lang"]: r for r in docs.groupBy("lang").agg(F.countDistinct("text").alias("texts"), F.percentile("n_chars", 0.5).alias("median_chars")).collect()}
+    assert set(got) == set(exact) == {"a", "b", "c"}
+    for k, r in exact.items():
+        assert abs(got[k]["texts"] - r["texts"]) <= 0.15 * r["texts"] and abs(got[k]["median_chars"] - r["median_chars"]) <= 2
