@@ -49,3 +49,25 @@ def test_empty_table_and_columns(docs_of):
     out = L.cleaned(docs, min_docs=1)
     assert out.columns == docs.columns
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("", 0), 2: (None, None)}
+
+
+def test_a_text_of_very_many_lines(docs_of):
+    rows = [(1, "\n".join(f"line {i}" for i in range(200_000)), "s"), (2, "line 7\nline 199999\nmine", "s")]
+    assert run(docs_of(rows), min_docs=2) == brute([r[:2] for r in rows], 2, 1)
+
+
+def test_joins_by_shuffle_give_the_same(docs_of, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "BUCKET_LINES", 3)
+    rows = [(i, f"a\nb {i % 3}\nc {i}\na", "s") for i in range(20)]
+    assert run(docs_of(rows), min_docs=7) == brute([r[:2] for r in rows], 7, 1)
+
+
+def test_own_columns_stay_and_no_table_is_left(spark):
+    docs = spark.createDataFrame([(i, "same\nown %d" % i, "l", "d", "k", 3) for i in range(12)], "doc_id long, text string, lines string, dropped string, kept string, `a.b` int")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = L.cleaned(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(i, f"own {i}", "l", "d", "k", 3) for i in range(12)]
+    assert L.without_frequent_lines(docs).columns == ["doc_id", "text", "a.b", "lines", "dropped", "kept"]
+    assert {t.name for t in spark.catalog.listTables()} == before
