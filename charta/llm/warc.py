@@ -3,8 +3,10 @@
 Writing: each payload becomes an HTTP response with chunked transfer framing. A block longer than a
 segment is cut: the first record is a response with segment number 1, the others are continuation
 records that name its record id, and the last one has the total length. Payloads equal to one that
-another record stores become revisit records. Spark's own text sink writes the bytes (records end
-with CR LF CR LF, which is its line separator), so archives are committed like any other output.
+another record stores become revisit records, which name that record's URI and date. Spark's own text
+sink writes the bytes (records end with CR LF CR LF, which is its line separator), so archives are
+committed like any other output; they are WARC 1.1, one gzip stream a file, and each task's first
+file begins with a warcinfo record.
 
 Reading: records are parsed from whole archive files. Continuation records are grouped with their
 origin, ordered by segment number, checked against the total length, and the chunked framing is
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charta.llm.wordhash import portions
+from charta.llm.wordhash import portions, settle
 
 #: Bytes of a block in one record, of a chunk in the transfer framing, and rows in one archive.
 SEGMENT, CHUNK, ROWS = 65536, 16384, 4000
 END = "\r\n\r\n"
+DATE = "2024-01-01T00:00:00Z"
 _B32 = base64.b32encode
 
 
@@ -67,21 +70,34 @@ def digest(payload: bytes) -> str:
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
+    lines = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block
 
 
-def records_of(key: str, uri: str, page_id: str, payload: bytes, sha1: str, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records, without their end, of one capture; ``key`` makes their ids."""
+def _id(key: str) -> str:
+    h = hashlib.md5(key.encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+
+def _uri(raw: bytes | None) -> str:
+    """As a header can hold it: control characters and spaces escaped."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", (raw or b"").decode(errors="replace"))
+
+
+def warcinfo(key: str) -> bytes:
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _id(f"{key}/info")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: charta\r\nformat: WARC File Format 1.1\r\n")
+
+
+def records_of(key: str, uri: str, page_id: str, payload: bytes, sha1: str, refers_to: tuple[str, str] | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records, without their end, of one capture; ``key`` makes their ids. refers_to: page_id and URI of the record that stores the payload."""
 
     def name(number: int) -> str:
-        h = hashlib.md5(f"{key}/{number}".encode()).hexdigest()
-        return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+        return _id(f"{key}/{number}")
 
-    common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(len(payload)))]
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, ("WARC-Profile", profile), ("X-Refers-To-Page-ID", refers_to)], b"")]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", refers_to[1]), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", refers_to[0])], b"")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     if len(parts) == 1:
@@ -94,33 +110,42 @@ def records_of(key: str, uri: str, page_id: str, payload: bytes, sha1: str, refe
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload, sha1 and refers_to: the largest page_id with an equal payload of ``least_bytes`` or more, null for that one itself and for shorter payloads.
+    """page_id, url, html, sha1, refers_to and refers_to_url of ``pages`` (page_id, url, html, any others).
 
-    Only digests and ids are grouped. Of repeated rows all those with the largest page_id are
-    responses. A null page_id counts as smaller than any other and refers to them.
+    refers_to: the largest page_id with an equal payload of ``least_bytes`` or more, null for that one
+    itself and for shorter payloads. Bytes of html and url are taken as they are, UTF-8 or not; null
+    html is an empty payload. Only digests, ids and urls are grouped. Of repeated rows all those with
+    the largest page_id are responses. A null page_id counts as smaller than any other and refers to
+    them.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("binary").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     # grouped by SHA-256, for which no two unequal texts are known to agree
-    rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "sha2": F.unhex(F.sha2(F.col("html").cast("binary"), 256))})
-    newest = rows.groupBy("sha2").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).filter("copies > 1 and newest is not null").drop("copies")
+    rows = rows.withColumns({"sha1": F.sha1("html"), "sha2": F.unhex(F.sha2("html", 256))})
+    newest = rows.groupBy("sha2").agg(F.max(F.struct("page_id", "url")).alias("newest"), F.count("*").alias("copies")).filter("copies > 1 and newest.page_id is not null").drop("copies")
     found = rows.join(newest, "sha2", "left")
-    refers = F.when((F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
-    return found.select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
+    other = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest.page_id"))
+    return found.select("page_id", "url", "html", "sha1", F.when(other, F.col("newest.page_id")).alias("refers_to"), F.when(other, F.col("newest.url")).alias("refers_to_url"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT) -> None:
-    """Write one capture for each row of ``pages`` as gzip-compressed WARC files of at most ROWS records."""
+    """Write one capture for each row of ``pages`` as gzip-compressed WARC files of at most ROWS records.
+
+    See ``with_revisits`` for nulls and repeated rows. A payload of any length is cut into segments. An
+    empty table gives no records.
+    """
     rows = with_revisits(pages, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for batch in (x for b in batches for x in portions(b, 2)):
             out = []
-            for page_id, url, html, sha1, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, sha1, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page, uri = "" if page_id is None else str(page_id), _uri(url)
+                key = f"{page}/{uri}/{sha1}/{at}"
+                if not at:
+                    out.append(warcinfo(key))
                 at += 1
-                page = "" if page_id is None else str(page_id)
-                key = f"{page}/{url}/{sha1}/{at}"
-                out += records_of(key, url or "", page, html.encode(), _B32(bytes.fromhex(sha1)).decode(), None if refers is None else str(refers), segment)
+                out += records_of(key, uri, page, html, _B32(bytes.fromhex(sha1)).decode(), None if refers is None else (str(refers), _uri(refers_url)), segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -176,41 +201,54 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, _RECORD)
 
 
+_CAPTURE = pa.schema([*[(n, pa.string()) for n in ("record_type", "url", "page", "refers")], ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("fault", pa.string())])
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (x for b in batches for x in portions(b, 9)):
-        rows = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-        out, faults, sums, sizes = [], [], [], []
-        for kind, want, length, total, last, count, block in zip(rows["type"], rows["digest"], rows["length"], rows["total"], rows["last"], rows["count"], rows["block"], strict=True):
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
+
+    for batch in batches:
+        cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "parts"}
+        lists = batch.column("parts")
+        rows, held = [], 0
+        for i, kind in enumerate(cols["type"]):
+            block = b"".join([x.as_buffer() for x in lists[i].values])
+            want, length, total = cols["digest"][i], cols["length"][i], cols["total"][i]
             payload, fault = None, None
             if kind == "response":
-                if last != count or (total is None) != (count == 1) or (total is not None and total != len(block)):
+                if cols["last"][i] != cols["count"][i] or (total is None) != (cols["count"][i] == 1) or (total is not None and total != len(block)):
                     fault = "segments missing or of another total length"
                 else:
                     try:
                         payload = payload_of(block)
                     except ValueError as e:
                         fault = str(e)
-            if payload is not None and want is not None and want != f"sha1:{digest(payload)}":
+            sha1 = digest(payload) if payload is not None else (want or "").removeprefix("sha1:") or None
+            if payload is not None and want is not None and want != f"sha1:{sha1}":
                 fault = "another digest"
-            out.append(payload)
-            faults.append(fault)
-            sums.append(digest(payload) if payload is not None else (want or "").removeprefix("sha1:") or None)
-            sizes.append(len(payload) if payload is not None else length and int(length))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("type", "uri", "page", "refers")), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(faults, pa.string())], names=["record_type", "url", "page", "refers", "payload", "payload_bytes", "payload_digest", "fault"])
+            rows.append((kind, cols["uri"][i], cols["page"][i], cols["refers"][i], payload, len(payload) if payload is not None else length and int(length), sha1, fault))
+            held += len(block)
+            if held > 8 << 20:
+                yield out(rows)
+                rows, held = [], 0
+        if rows:
+            yield out(rows)
+        settle()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Captures in the archives under ``path``: page_id, url, record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to and fault (null, or why a payload can't be told).
 
     Records in one piece are decoded where they are read; only segments are shuffled, and grouped by
-    the record id of their first one, so a group is one payload.
+    the record id of their first one, so a group is one payload. Archives without captures give no
+    rows; a number that can't be read as page_id is null.
     """
-    found = records(spark, path)
-    whole = found.filter("number is null").select("type", "uri", "page", "refers", "digest", "length", F.lit(None).cast("long").alias("total"), F.lit(1).alias("last"), F.lit(1).cast("long").alias("count"), "block")
+    found = records(spark, path).filter("type <> 'warcinfo'")
+    whole = found.filter("number is null").select("type", "uri", "page", "refers", "digest", "length", F.lit(None).cast("long").alias("total"), F.lit(1).alias("last"), F.lit(1).cast("long").alias("count"), F.array("block").alias("parts"))
     parts = found.filter("number is not null").withColumn("origin", F.coalesce("origin", "record_id")).withColumn("first", F.when(F.col("number") == 1, F.struct("type", "uri", "page", "refers", "digest", "length")))
     joined = parts.groupBy("origin").agg(F.max("first").alias("first"), F.max("total").alias("total"), F.max("number").alias("last"), F.count("*").alias("count"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    blocks = F.aggregate(F.col("parts.block"), F.lit(b""), lambda a, b: F.concat(a, b))
-    joined = joined.select(F.coalesce("first.type", F.lit("response")).alias("type"), "first.uri", "first.page", "first.refers", "first.digest", "first.length", "total", "last", "count", blocks.alias("block"))
+    joined = joined.select(F.coalesce("first.type", F.lit("response")).alias("type"), "first.uri", "first.page", "first.refers", "first.digest", "first.length", "total", "last", "count", F.col("parts.block").alias("parts"))
     kind = "record_type string, url string, page string, refers string, payload binary, payload_bytes long, payload_digest string, fault string"
     out = whole.unionByName(joined).mapInArrow(_decoded, kind)
     return out.select(F.expr("try_cast(page as long)").alias("page_id"), "url", "record_type", "payload", "payload_bytes", "payload_digest", F.expr("try_cast(refers as long)").alias("refers_to"), "fault")

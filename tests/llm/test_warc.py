@@ -69,3 +69,30 @@ def test_framing():
         with pytest.raises(ValueError):
             warc.unchunked(bad)
     assert warc.payload_of(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain"
+
+
+def test_bytes_that_are_no_utf8_stay_as_they_are(spark):
+    raw = b"<p>\xff\xfe caf\xe9</p>"
+    pages = spark.createDataFrame([(1, b"http://a/\xff", raw), (2, b"u", raw), (3, b"u", b"")], "page_id long, url binary, html binary").selectExpr("page_id", "cast(url as string) url", "cast(html as string) html")
+    path = fresh_path(spark, "archives")
+    warc.write(pages, path)
+    got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+    assert {i: r["payload_bytes"] for i, r in got.items()} == {1: len(raw), 2: len(raw), 3: 0}
+    assert got[1]["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode() and got[1]["refers_to"] == 2
+    assert bytes(got[2]["payload"]) == raw
+
+
+def test_archives_begin_with_warcinfo_and_revisits_name_what_they_refer_to(spark, tmp_path):
+    warc.write(pages_of(spark, [(1, "http://a/", "t"), (2, "http://b/", "t")]).coalesce(1), f"file://{tmp_path}/x")
+    found = [r for f in sorted((tmp_path / "x").glob("*.txt.gz")) for r in warc.parse(f.read_bytes())]
+    kinds = [h["warc-type"] for h, _ in found]
+    assert kinds[0] == "warcinfo" and sorted(k for k in kinds if k != "warcinfo") == ["response", "revisit"]
+    revisit = next(h for h, _ in found if h["warc-type"] == "revisit")
+    assert revisit["warc-refers-to-target-uri"] == "http://b/" and revisit["warc-target-uri"] == "http://a/"
+    for h, block in found:
+        assert h["warc-block-digest"] == f"sha1:{warc.digest(block)}"
+
+
+def test_long_payload_of_many_segments(spark):
+    _, out = captured(spark, [(1, "u", "0123456789abcdef" * 2_000_000), (2, "u", "z")])
+    assert sorted((r["page_id"], r["payload_bytes"], r["fault"]) for r in out) == [(1, 32_000_000, None), (2, 1, None)]
