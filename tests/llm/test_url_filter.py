@@ -35,3 +35,10 @@ def test_no_rules_and_no_pages(spark):
     none = spark.createDataFrame([], "verdict string, rule_host string, rule_path string")
     assert [(r["rule"], r["verdict"]) for r in U.judged(pages, none, "block").collect()] == [(None, "block")]
     assert U.judged(pages.limit(0), U.rule_table(spark, RULES)).collect() == []
+
+
+def test_hosts_of_very_many_labels(spark):
+    long = "http://" + "a." * 100_000 + "example.com/en/x"
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "b" * 200_000 + ".net/es/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judged(pages, U.rule_table(spark, RULES)).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("net/es/", "block")}
