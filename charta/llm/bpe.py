@@ -33,6 +33,8 @@ ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+#: Fixed value: the pattern that pieces match.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that are encoded at once.
 PORTION = 1 << 20
 
@@ -309,13 +311,36 @@ class Coder:
     def __init__(self, raw: bytes) -> None:
         ranks = _ranks(raw)
         self.cache = PieceCache(ranks)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        tokens = {rank: token for token, rank in ranks.items()}
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
-        for rank, token in self.tokens.items():
+        for rank, token in tokens.items():
             self.length[rank] = len(token)
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        # all tokens' bytes in one array, in the order of ranks, and where each begins
+        self.flat = np.frombuffer(b"".join(tokens.get(rank, b"") for rank in range(len(self.length))), np.uint8)
+        self.begin = np.cumsum(self.length) - self.length
+
+    def ends(self, ids: bytes) -> np.ndarray:
+        """The byte at which each token ends; ValueError for an id that is none."""
+        at = np.frombuffer(ids, "<u4")
+        if len(at) and (int(at.max()) >= len(self.length) or not self.length[at].all()):
+            raise ValueError("an id outside the vocabulary")
+        return np.cumsum(self.length[at])
+
+    def decode(self, ids: bytes, ends: np.ndarray | None = None) -> bytes:
+        """The bytes of ids; each token's bytes go to the place that the offsets tell."""
+        ends = self.ends(ids) if ends is None else ends
+        if not len(ends):
+            return b""
+        at = np.frombuffer(ids, "<u4")
+        sizes = np.diff(ends, prepend=0)
+        if len(ends) != len(at) or (sizes != self.length[at]).any():
+            raise ValueError("offsets of other ids")
+        return self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))].tobytes()
+
+    def decode_span(self, ids: bytes, ends: np.ndarray, first: int, last: int) -> bytes:
+        """The bytes of the tokens that hold the bytes ``first`` to ``last`` of the text; only those are decoded."""
+        a, z = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "left")) + 1
+        return self.decode(ids[4 * a : 4 * z])
 
 
 _latest: tuple[bytes, Coder] | None = None
@@ -356,44 +381,61 @@ def encode_column(column: pa.Array, cache: PieceCache) -> Iterator[bytes]:
             yield b"".join(ids[a:z])
 
 
-def encode(df: DataFrame, vocabulary: str, column: str = "text", decoded: bool = False, without_text: bool = False) -> DataFrame:
+def _renamed(df: DataFrame, left_out: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` without some columns and under names that nothing else has, and the names that it had."""
+    kept = [c for c in df.columns if c not in left_out]
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]), kept
+
+
+def encode(df: DataFrame, vocabulary: str, column: str = "text", decoded: bool = False, without_text: bool = False, pattern: str = PATTERN) -> DataFrame:
     """``df`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``ends`` (the same form: the byte at which each token ends).
 
-    Every match of the pattern is encoded separately; there are no special tokens. A null or empty
-    text gives empty ids. ``vocabulary``: path of a file of ranks, read by the driver and broadcast.
-    decoded: the ids are decoded again into ``decoded`` (binary), in the same pass. without_text: the
-    text column is left out. Columns of ``df`` named like a new one are replaced. Bytes that are no
-    UTF-8 count as U+FFFD.
+    Every match of the pattern is encoded separately; there are no special tokens. ``pattern``: the
+    vocabulary's own; the automaton is of PATTERN, any other is refused. ``vocabulary``: path of a file
+    of ranks, read by the driver and broadcast. decoded: the ids are decoded again by their offsets
+    into ``decoded`` (binary), in the same pass. without_text: the text column is left out.
+
+    A null or empty text gives empty ids. Bytes that are no UTF-8 count as U+FFFD. Very long texts are
+    encoded whole. Repeated rows are encoded alike. An empty table gives no rows. Columns of ``df``
+    named like a new one are replaced.
     """
+    if pattern != PATTERN:
+        raise ValueError("pre-tokenisation is built for another pattern")
     new = ["ids", "ends", *["decoded"] * decoded]
-    kept = [c for c in df.columns if c not in new]
+    inner, kept = _renamed(df, new)
     at = kept.index(column)
-    out = [c for c in kept if c != column or not without_text]
-    schema = df.select(*out).withColumns({c: F.lit(b"") for c in new}).schema
+    out = [i for i, c in enumerate(kept) if c != column or not without_text]
+    schema = inner.select(*[f"c{i}" for i in out]).withColumns({c: F.lit(b"") for c in new}).schema
     shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in (x for b in batches for x in portions(b, at, PORTION)):
             ids = list(encode_column(batch.column(at), coder.cache))
-            ends = [np.cumsum(coder.length[np.frombuffer(x, "<u4")]).astype("<u4").tobytes() for x in ids]
-            made = [ids, ends, *[[coder.decode(x) for x in ids]] * decoded]
-            yield pa.RecordBatch.from_arrays([*(batch.column(kept.index(c)) for c in out), *(pa.array(x, pa.binary()) for x in made)], names=[*out, *new])
+            ends = [coder.ends(x) for x in ids]
+            made = [ids, [x.astype("<u4").tobytes() for x in ends], *[[coder.decode(x, e) for x, e in zip(ids, ends, strict=True)]] * decoded]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), *(pa.array(x, pa.binary()) for x in made)], names=schema.names)
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).toDF(*[kept[i] for i in out], *new)
 
 
-def decode(df: DataFrame, vocabulary: str, column: str = "ids") -> DataFrame:
-    """``df`` with ``decoded`` (binary): the bytes of the packed ids in ``column``; null ids give null, ids outside the vocabulary fail."""
-    kept = [c for c in df.columns if c != "decoded"]
-    schema = df.select(*kept).withColumn("decoded", F.lit(b"")).schema
-    at = kept.index(column)
+def decode(df: DataFrame, vocabulary: str, column: str = "ids", offsets: str | None = "ends") -> DataFrame:
+    """``df`` with ``decoded`` (binary): the bytes of the packed ids in ``column``.
+
+    offsets: the column with the bytes at which the tokens end, as ``encode`` makes it, if it is there;
+    each token's bytes go to the place that they tell, and offsets of other ids fail. Null ids give
+    null, ids outside the vocabulary fail. A column named decoded is replaced.
+    """
+    inner, kept = _renamed(df, ["decoded"])
+    at, by = kept.index(column), kept.index(offsets) if offsets in kept else None
+    schema = inner.withColumn("decoded", F.lit(b"")).schema
     shared = _shared(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in (x for b in batches for x in portions(b, at, PORTION)):
-            out = [None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*kept, "decoded"])
+            ends = [None] * batch.num_rows if by is None else [None if x is None else np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(by).to_pylist()]
+            out = [None if x is None else coder.decode(x, e) for x, e in zip(batch.column(at).to_pylist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).toDF(*kept, "decoded")

@@ -27,6 +27,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def pattern() -> str:
+    """The pattern that comes with the vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +73,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded=True, without_text=True)
+    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded=True, without_text=True, pattern=pattern())
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

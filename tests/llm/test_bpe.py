@@ -60,3 +60,31 @@ def test_round_trip_offsets_and_odd_rows(docs_of):
 def test_vocabulary_file_is_base64_and_rank():
     token, rank = open(PATH, "rb").readline().split()
     assert RANKS[base64.b64decode(token)] == int(rank)
+
+
+def test_other_patterns_are_refused(docs_of):
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+    with pytest.raises(ValueError):
+        bpe.encode(docs_of([]), PATH, pattern=r"\S+|\s+")
+
+
+def test_decoding_by_offsets():
+    coder = bpe._coder(open(PATH, "rb").read())
+    text = "Größe and  naïve 🙂 words\n" * 50
+    raw = text.encode()
+    (ids,) = bpe.encode_column(pa.array([text]), coder.cache)
+    ends = coder.ends(ids)
+    assert coder.decode(ids) == coder.decode(ids, ends) == raw and ends[-1] == len(raw)
+    for a, z in ((0, 1), (5, 40), (100, 101), (len(raw) - 3, len(raw))):
+        assert raw[a:z] in coder.decode_span(ids, ends, a, z) and len(coder.decode_span(ids, ends, a, z)) < z - a + 40
+    with pytest.raises(ValueError):
+        coder.decode(ids, ends + 1)
+    with pytest.raises(ValueError):
+        coder.ends(np.array([60_000], "<u4").tobytes())
+
+
+def test_own_columns_and_bytes_that_are_no_utf8(spark):
+    docs = spark.createDataFrame([(1, b"a \xff b", 5), (2, None, 6)], "doc_id long, text binary, `a.b` int").selectExpr("doc_id", "cast(text as string) text", "`a.b`")
+    out = bpe.encode(docs, PATH, decoded=True, without_text=True)
+    assert out.columns == ["doc_id", "a.b", "ids", "ends", "decoded"]
+    assert {r["doc_id"]: (bytes(r["decoded"]).decode(), r["a.b"]) for r in out.collect()} == {1: ("a \ufffd b", 5), 2: ("", 6)}
