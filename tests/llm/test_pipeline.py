@@ -60,3 +60,30 @@ def test_tokens_are_the_library_s(stages):
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = Counter((r["doc_id"], hashlib.sha256(np.array(coder.encode_ordinary(r["text"] or ""), "<u4").tobytes()).hexdigest()) for r in stages[4].collect())
     assert Counter((r["doc_id"], hashlib.sha256(bytes(r["ids"])).hexdigest()) for r in stages[5].collect()) == want
+
+
+def through(spark, docs):
+    for name, stage in P.STAGES:
+        docs = written(stage(spark, docs, SF), name.replace(" ", "_"))
+    return docs
+
+
+def test_an_empty_table_stays_empty(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    out = through(spark, docs)
+    assert out.collect() == [] and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+
+
+def test_odd_rows_go_through(spark):
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()]
+    rows = [(i, t, "en", "s" if i % 3 else None, len(t), 1) for i, t in enumerate(good)]
+    rows += [(100, None, None, None, None, 1), (101, "", "en", "s", 0, 1), (102, " \n\t", "en", None, 3, 1), (None, good[0], "en", "s", 5, 1), (3, good[3], "en", "s", 5, 1), (103, "word " * 60_000, "en", "s", 300_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tokens int").withColumnRenamed("tokens", "a.b")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = written(stage(spark, kept, SF), name.replace(" ", "_"))
+        assert kept.columns == docs.columns
+    out = P.tokens(spark, kept, SF).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {r["doc_id"]: r["n_tokens"] for r in out if r["decoded_sha256"] == empty}.items() >= {100: 0, 101: 0}.items()
+    assert len({r["doc_id"] for r in out}) > 10
