@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from charta.functions import python, versions
 from charta.functions import text as T
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
-from charta.plans.fixtures import table, values
-from charta.sources import connectors, fetch, registry, run
+from charta.plans.fixtures import COSTS, PERSONS, table, values
+from charta.sources import connectors, containers, fetch, registry, run
 from charta.sources.tables import ENTITIES, counted, created, described, emptied, load
 from charta.sources.workdir import fresh_path
 from charta.streaming import windows
@@ -271,6 +271,19 @@ def tabular_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.table_lines(connectors.read_delimited(spark, path, "place int, skill string, credits string"), "place")
 
 
+@_query(f"WITH {values('persons').replace('index,', '\"index\",')} SELECT record_id, full_name FROM persons")
+def sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, name) for _, i, name in PERSONS]
+    files = spark.createDataFrame([(containers.sqlite_bytes({"source": ("record_id INTEGER, full_name TEXT", rows)}),)], "content binary")
+    return containers.sqlite_rows(files, "source", "record_id int, full_name string")
+
+
+@_query(f"WITH {values('costs')}, c AS (SELECT place + 1 AS row_no, unnest([1, 2, 3]) AS col_no, unnest([place::VARCHAR, skill, credits]) AS value FROM costs UNION ALL SELECT 1, unnest([1, 2, 3]), unnest(['place', 'skill', 'credits'])) SELECT 'credits' AS sheet, * FROM c WHERE value IS NOT NULL")
+def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = containers.workbook_bytes({"credits": [["place", "skill", "credits"], *[list(r) for r in COSTS]]})
+    return containers.workbook_cells(spark.createDataFrame([(content,)], "content binary"))
+
+
 _VERSION = "list_transform(string_split(regexp_replace(regexp_extract({}, '(\\d+(?:\\.\\d+)*)', 1), '(\\.0+)+$', ''), '.'), lambda x: x::BIGINT)"
 
 

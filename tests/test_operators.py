@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
-from charta.sources import connectors
+from charta.sources import attempts, connectors, containers, registry, run
 from charta.streaming import windows
 
 
@@ -101,6 +102,68 @@ def test_repeats_in_a_stream_count_once(spark, tmp_path):
     assert windows.run_to_table(windows.without_repeats(stream)).count() == 2
 
 
+def test_containers_of_several_files_and_odd_cells(spark):
+    rows = [[(i, f"n{i}", None if i % 2 else i / 4) for i in range(k, 9000, 3)] for k in range(3)]
+    files = [(containers.sqlite_bytes({"a b": ('"x y" INTEGER, name TEXT, v REAL', r), "other": ("z TEXT", [])}),) for r in rows]
+    out = containers.sqlite_rows(spark.createDataFrame([*files, (None,)], "content binary"), "a b", "`x y` int, name string, v double")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(x for r in rows for x in r)
+    book = containers.workbook_bytes({"One & only": [["a", None, 3], [], [None, "é <b>"]], "Two": [[1.5]]})
+    got = containers.workbook_cells(spark.createDataFrame([(book,)], "content binary")).collect()
+    assert sorted(map(tuple, got)) == [("One & only", 1, 1, "a"), ("One & only", 1, 3, "3"), ("One & only", 3, 2, "é <b>"), ("Two", 1, 1, "1.5")]
+
+
+def test_attempts_and_fallbacks():
+    tries, cleaned = [], []
+
+    def action():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return "done"
+
+    assert attempts.attempted(action, pause=0, between=cleaned.append) == "done" and len(tries) == 3 and cleaned == [1, 2]
+    for n, retry in ((2, lambda e: True), (5, lambda e: isinstance(e, KeyError))):
+        tries.clear()
+        with pytest.raises(OSError):
+            attempts.attempted(action, attempts=n, pause=0, retry=retry)
+    tries.clear()
+    assert attempts.first_success([action, action, action, action]) == "done"
+    tries.clear()
+    with pytest.raises(OSError):
+        attempts.first_success([action, action])
+
+
+def test_folder_of_sources_runs_connectors(spark, tmp_path):
+    for name, text in {"dhs/affaire_dhs_000017_fr.md": "# L'Affaire des colonels\nText", "wikipedia/a_wikipedia_1_en.md": "Colonels Affair\nMore"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    docs = run.folder_documents(spark, str(tmp_path))
+    asked = registry.dispatched(spark.createDataFrame([(1, ["dhs", "affaire"]), (2, ["wiki", "colonels", "affair"]), (3, ["wiki", "colonels affair", "--lang", "fr"])], "case_id int, args array<string>"), registry.registry(spark))
+    got = run.executed(asked, {"documents": docs}).collect()
+    assert sorted((r["case_id"], r["title"]) for r in got) == [(1, "# L'Affaire des colonels"), (2, "Colonels Affair")]
+
+
+def test_listed_contents_from_an_array(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[{"url": "u1", "x": 1}, {"url": "u2"}, {"url": null}]')
+    pages = spark.createDataFrame([(1, "u1", "h")], "page_id long, url string, html string")
+    got = run.listed_contents(spark, str(tmp_path / "list.json"), pages, array=True).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("u1", 1, "h"), ("u2", None, None)]))
+
+
+def test_periods_join_equals_all_pairs(spark):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, day + dt.timedelta(hours=7 * i)) for i in range(60)] + [(99, None)]
+    spans = [("a", 0, 400), ("b", 3, 3), ("c", 9, 8), ("d", 20, 21), ("e", -900, 2)]
+    periods = [(n, day + dt.timedelta(hours=a), day + dt.timedelta(hours=z)) for n, a, z in spans] + [("f", None, day)]
+    left = spark.createDataFrame(rows, "i int, t timestamp_ntz")
+    right = spark.createDataFrame(periods, "p string, s timestamp_ntz, e timestamp_ntz")
+    for days in (1, 7):
+        got = sorted((r["i"], r["p"]) for r in quant.in_periods(left, "t", right, "s", "e", days).collect())
+        assert got == sorted((i, p) for i, t in rows for p, s, e in periods if t and s and s <= t < e)
+
+
 def test_streams_over_several_files(spark, tmp_path):
     rows = [(i, i, i % 3, "ab"[i % 2], float(i), "") for i in range(20)]
     events = spark.createDataFrame(rows, "event_id long, s int, user_id long, event_type string, value double, props string")
