@@ -15,6 +15,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once, though it is used often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_counts(text: Column) -> Column:
+    """Structs (term, n) of a text's words, each once: equal words stand together when sorted, so nothing leaves the row."""
+
+    def runs(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return _let(begins, lambda at: F.transform(at, lambda p, j: F.struct(F.get(w, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(w)) - p).cast("long").alias("n"))))
+
+    none = F.array().cast("array<struct<term:string,n:bigint>>")
+    return _let(F.array_sort(words(text)), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none))
+
+
 def lines(text: Column) -> Column:
     """Lines of a text; a passage's number is its place from 1."""
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)

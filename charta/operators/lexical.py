@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charta.functions.text import words
+from charta.functions.text import word_counts, words
 from charta.operators.entities import fuzzy
 
 
 def term_frequency(docs: DataFrame) -> DataFrame:
-    """(term, tf, df) over all documents, from one shuffle of (document, term) counts and one of terms."""
-    counts = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    """(term, tf, df) over all documents, each row one: counted within the row, then one shuffle of terms that each task has summed."""
+    return docs.select(F.inline(word_counts(F.col("text")))).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
 def tfidf(docs: DataFrame, top: int = 3) -> DataFrame:
