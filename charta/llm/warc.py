@@ -3,10 +3,10 @@
 Writing: each payload becomes an HTTP response with chunked transfer framing. A block longer than a
 segment is cut: the first record is a response with segment number 1, the others are continuation
 records that name its record id, and the last one has the total length. Payloads equal to one that
-another record stores become revisit records, which name that record's URI and date. Spark's own text
-sink writes the bytes (records end with CR LF CR LF, which is its line separator), so archives are
-committed like any other output; they are WARC 1.1, one gzip stream a file, and each task's first
-file begins with a warcinfo record.
+another record stores become revisit records, which name that record's URI and date. Every record is
+a gzip member of its own, as readers of WARC 1.1 expect, and each task's first file begins with a
+warcinfo record. Spark's own text sink writes the bytes, so archives are committed like any other
+output; its line separator is a gzip member without content, which readers pass over.
 
 Reading: records are parsed from whole archive files. Continuation records are grouped with their
 origin, ordered by segment number, checked against the total length, and the chunked framing is
@@ -29,7 +29,8 @@ from charta.llm.wordhash import portions, settle
 
 #: Bytes of a block in one record, of a chunk in the transfer framing, and rows in one archive.
 SEGMENT, CHUNK, ROWS = 65536, 16384, 4000
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+EMPTY = gzip.compress(b"", mtime=0)
 DATE = "2024-01-01T00:00:00Z"
 _B32 = base64.b32encode
 
@@ -128,7 +129,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT) -> None:
-    """Write one capture for each row of ``pages`` as gzip-compressed WARC files of at most ROWS records.
+    """Write one capture for each row of ``pages`` as gzip-compressed WARC files of at most ROWS records, named part-*.txt.
 
     See ``with_revisits`` for nulls and repeated rows. A payload of any length is cut into segments. An
     empty table gives no records.
@@ -146,10 +147,11 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGM
                     out.append(warcinfo(key))
                 at += 1
                 out += records_of(key, uri, page, html, _B32(bytes.fromhex(sha1)).decode(), None if refers is None else (str(refers), _uri(refers_url)), segment)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x + END, 6, mtime=0) for x in out], pa.binary())], names=["value"])
 
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ROWS).text(path)
+    # the separator's bytes are code points of this encoding; values are written as the bytes that they are
+    records.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", ROWS).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
