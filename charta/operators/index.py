@@ -48,6 +48,12 @@ def cube(docs: DataFrame) -> DataFrame:
     return docs.cube("lang", "source").agg(F.count("*").alias("n_docs"), F.countDistinct("n_chars").alias("n_lengths"), F.grouping_id().cast("int").alias("level"))
 
 
+def language_map(docs: DataFrame) -> DataFrame:
+    """(source, langs): a map from language to number of documents for each source; documents without a language are left out."""
+    counts = docs.filter("lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return counts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("langs"))
+
+
 def approximate_statistics(docs: DataFrame) -> DataFrame:
     """By language: number of distinct texts and median length, from sketches."""
     return docs.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts"), F.approx_percentile("n_chars", 0.5).alias("median_chars"))

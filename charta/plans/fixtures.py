@@ -67,7 +67,12 @@ PERIODS = [("first", "2024-01-03 00:00:00", "2024-01-05 12:00:00"), ("second", "
 TOOLS = [("python", "Python 3.12.4", "3.12"), ("git", "git version 2.9.0.windows.1", "2.10"), ("java", "17", "17.0.0"), ("node", "v18.19.1", "18.2"), ("none", "not found", "1.0"), ("long", "1.2.3.4", "1.2.3")]
 COSTS = [(1, "fetch | one", "1.1"), (2, "index", None), (3, "a \"quoted\", name", "2.5")]
 
+PDF_LINES = [("a.pdf", 1, "Bern, 18 January 1916"), ("a.pdf", 1, "The colonels (both) were moved \\ not dismissed"), ("a.pdf", 2, "Größe, élève — end"), ("b.pdf", 1, "Only line")]
+PDF_TITLES = [("a.pdf", "Affaire des colonels"), ("b.pdf", None)]
+
 SCHEMAS = {
+    "pdf_lines": (PDF_LINES, "path string, page_no int, line string"),
+    "pdf_titles": (PDF_TITLES, "path string, title string"),
     "runs": (RUNS, "case_id int, args array<string>"),
     "persons": (PERSONS, "index string, record_id int, full_name string"),
     "periods": (PERIODS, "period string, starts string, ends string"),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from charta.functions import python, versions
 from charta.functions import text as T
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
-from charta.plans.fixtures import COSTS, PERSONS, table, values
-from charta.sources import connectors, containers, fetch, registry, run
+from charta.plans.fixtures import COSTS, PDF_LINES, PDF_TITLES, PERSONS, table, values
+from charta.sources import connectors, containers, fetch, pdf, registry, run
 from charta.sources.tables import ENTITIES, counted, created, described, emptied, load
 from charta.sources.workdir import fresh_path
 from charta.streaming import windows
@@ -284,6 +284,24 @@ def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.workbook_cells(spark.createDataFrame([(content,)], "content binary"))
 
 
+_PDF = f"{values('pdf_lines')}, {values('pdf_titles')}, g AS (SELECT path, page_no, string_agg(line, chr(10)) AS text FROM pdf_lines GROUP BY ALL)"
+
+
+def _pdfs(spark: SparkSession) -> DataFrame:
+    pages = {path: [[line for p, i, line in PDF_LINES if (p, i) == (path, n)] for n in range(1, 1 + max(i for p, i, _ in PDF_LINES if p == path))] for path, _ in PDF_TITLES}
+    return spark.createDataFrame([(path, pdf.pdf_bytes(pages[path], title)) for path, title in PDF_TITLES] + [("c.pdf", b"none")], "path string, content binary")
+
+
+@_query(f"WITH {_PDF} SELECT path, page_no, text, title, NULL::VARCHAR AS fault FROM g JOIN pdf_titles USING (path) UNION ALL SELECT 'c.pdf', 0, NULL, NULL, 'no PDF file'")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.pdf_pages(_pdfs(spark)).drop("author")
+
+
+@_query(f"WITH {_PDF} SELECT path, CASE WHEN title IS NULL THEN '' ELSE '# ' || title || chr(10) || chr(10) END || string_agg('<!-- page ' || page_no || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY page_no) AS markdown FROM g JOIN pdf_titles USING (path) GROUP BY path, title")
+def pdf_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.pdf_markdown(_pdfs(spark))
+
+
 _VERSION = "list_transform(string_split(regexp_replace(regexp_extract({}, '(\\d+(?:\\.\\d+)*)', 1), '(\\.0+)+$', ''), '.'), lambda x: x::BIGINT)"
 
 
@@ -406,6 +424,13 @@ def lang_source_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.cube(load(spark, sf_dir, "documents"))
 
 
+@_query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, string_agg(lang, ',' ORDER BY lang) AS langs, max(n) FILTER (lang = 'en') AS english, (coalesce(sum(n) FILTER (lang <> 'en'), 0))::BIGINT AS others FROM c GROUP BY source")
+def source_lang_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.language_map(load(spark, sf_dir, "documents"))
+    others = F.aggregate(F.map_values(F.map_filter("langs", lambda k, v: k != "en")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select("source", F.array_join(F.sort_array(F.map_keys("langs")), ",").alias("langs"), F.try_element_at("langs", F.lit("en")).alias("english"), others.alias("others"))
+
+
 @_query()
 def approx_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.approximate_statistics(load(spark, sf_dir, "documents"))
@@ -762,6 +787,16 @@ def events_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_to_table(windows.tumbling(windows.stream(spark, sf_dir)), "complete")
 
 
+@_query(_SQL["events_sliding"])
+def events_stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.run_to_table(windows.sliding(windows.stream(spark, sf_dir)), "complete")
+
+
+@_query(_SQL["events_session"])
+def events_stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.run_to_table(windows.sessions(windows.stream(spark, sf_dir)), "complete")
+
+
 @_query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def events_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.run_to_table(windows.running_totals(windows.stream(spark, sf_dir)), "update", ["user_id"])
