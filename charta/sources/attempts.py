@@ -7,14 +7,16 @@ from collections.abc import Callable, Sequence
 from typing import TypeVar
 
 R = TypeVar("R")
+#: Tries, seconds that each failure adds to the pause before the next try, and the longest pause.
+TRIES, STEP, LONGEST = 3, 5.0, 15.0
 
 
-def attempted(action: Callable[[], R], attempts: int = 3, pause: float = 1.0, retry: Callable[[Exception], bool] = lambda e: True, between: Callable[[int], None] | None = None) -> R:
+def attempted(action: Callable[[], R], attempts: int = TRIES, step: float = STEP, longest: float = LONGEST, retry: Callable[[Exception], bool] = lambda e: True, between: Callable[[int], None] | None = None) -> R:
     """The result of ``action``, tried up to ``attempts`` times.
 
     After a failure that ``retry`` approves, ``between`` (with the number of the try that failed) may
-    clean up, and the next try waits ``pause`` seconds, then twice as long each time. The last failure
-    is raised as it is.
+    clean up; the next try waits ``step`` seconds more than the one before, ``longest`` at most. The
+    last failure is raised as it is; ``first_success`` takes it to a fallback.
     """
     for n in range(1, attempts + 1):
         try:
@@ -24,7 +26,7 @@ def attempted(action: Callable[[], R], attempts: int = 3, pause: float = 1.0, re
                 raise
             if between is not None:
                 between(n)
-            time.sleep(pause * 2 ** (n - 1))
+            time.sleep(min(step * n, longest))
     raise ValueError("attempts must be 1 or more")
 
 

@@ -121,11 +121,11 @@ def test_attempts_and_fallbacks():
             raise OSError("not yet")
         return "done"
 
-    assert attempts.attempted(action, pause=0, between=cleaned.append) == "done" and len(tries) == 3 and cleaned == [1, 2]
+    assert attempts.attempted(action, step=0, between=cleaned.append) == "done" and len(tries) == 3 and cleaned == [1, 2]
     for n, retry in ((2, lambda e: True), (5, lambda e: isinstance(e, KeyError))):
         tries.clear()
         with pytest.raises(OSError):
-            attempts.attempted(action, attempts=n, pause=0, retry=retry)
+            attempts.attempted(action, attempts=n, step=0, retry=retry)
     tries.clear()
     assert attempts.first_success([action, action, action, action]) == "done"
     tries.clear()
