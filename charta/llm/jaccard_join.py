@@ -515,5 +515,6 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest doc_id stays, with all its rows; rows with a null doc_id stay."""
     found, _ = similar(docs, k, percent)
-    gone = _near(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = next(f"gone{i}" for i in range(len(docs.columns) + 1) if f"gone{i}" not in docs.columns)
+    gone = _near(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

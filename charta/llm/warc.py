@@ -19,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charta.llm.wordhash import portions, settle
+from charta.llm.workdir import written
 
 #: Bytes of a block in one record, of a chunk in the transfer framing, and rows in one archive.
 SEGMENT, CHUNK, ROWS = 65536, 16384, 4000
 END = b"\r\n\r\n"
 EMPTY = gzip.compress(b"", mtime=0)
+#: Repeated payloads, counted, and bytes of their urls up to which their table (a digest and an id each) is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 _B32 = base64.b32encode
 
@@ -115,7 +119,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     refers_to: the largest page_id with an equal payload of ``least_bytes`` or more, null for that one
     itself and for shorter payloads. Bytes of html and url are taken as they are, UTF-8 or not; null
-    html is an empty payload. Only digests, ids and urls are grouped. Of repeated rows all those with
+    html is an empty payload. Only digests, ids and urls are grouped; payloads stay where they are
+    while the table of repeated ones is small. Of repeated rows all those with
     the largest page_id are responses. A null page_id counts as smaller than any other and refers to
     them.
     """
@@ -123,7 +128,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # grouped by SHA-256, for which no two unequal texts are known to agree
     rows = rows.withColumns({"sha1": F.sha1("html"), "sha2": F.unhex(F.sha2("html", 256))})
     newest = rows.groupBy("sha2").agg(F.max(F.struct("page_id", "url")).alias("newest"), F.count("*").alias("copies")).filter("copies > 1 and newest.page_id is not null").drop("copies")
-    found = rows.join(newest, "sha2", "left")
+    newest = written(newest, "newest")
+    count, size = newest.agg(F.count("*"), F.sum(F.octet_length("newest.url"))).first()
+    found = rows.join(F.broadcast(newest) if count <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else newest, "sha2", "left")
     other = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest.page_id"))
     return found.select("page_id", "url", "html", "sha1", F.when(other, F.col("newest.page_id")).alias("refers_to"), F.when(other, F.col("newest.url")).alias("refers_to_url"))
 
@@ -154,10 +161,24 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGM
     records.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", ROWS).text(path)
 
 
+def inflated(data: bytes, step: int = 1 << 14) -> bytes:
+    """The content of all gzip members; ValueError if the last one is cut short. Fed in small steps, as what is left over of a step is copied."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("gzip member cut short")
+            out.append(member.decompress(view[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(member.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of an archive, compressed or not; ValueError if it is cut short."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflated(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)

@@ -39,6 +39,11 @@ def test_round_trip(spark):
     assert got[5]["url"] == "http://b/%20c"
 
 
+def test_joined_by_shuffle_alike(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    test_round_trip(spark)
+
+
 def test_short_payloads_are_not_revisits(spark):
     _, out = captured(spark, ROWS, least_bytes=5)
     assert {r["record_type"] for r in out} == {"response"}
@@ -109,3 +114,12 @@ def test_archives_begin_with_warcinfo_and_revisits_name_what_they_refer_to(spark
 def test_long_payload_of_many_segments(spark):
     _, out = captured(spark, [(1, "u", "0123456789abcdef" * 2_000_000), (2, "u", "z")])
     assert sorted((r["page_id"], r["payload_bytes"], r["fault"]) for r in out) == [(1, 32_000_000, None), (2, 1, None)]
+
+
+def test_members_of_any_size_are_inflated():
+    parts = [b"", b"x", b"abc" * 9000, bytes(range(256)) * 400, b"", b"end"]
+    whole = b"".join(gzip.compress(p) for p in parts)
+    for step in (1, 7, 1 << 14):
+        assert warc.inflated(whole, step) == b"".join(parts)
+    with pytest.raises(ValueError):
+        warc.inflated(whole[:-3])
