@@ -101,7 +101,7 @@ def term_counts(column: pa.Array) -> Terms:
 
 def _times(ends: np.ndarray, at: np.ndarray, values: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """A sparse matrix (row i: entries ends[i] to ends[i + 1], in columns ``at``) times a dense one, whole rows of about ENTRIES entries at a time."""
-    out = np.zeros((len(ends) - 1, dense.shape[1]))
+    out = np.zeros((len(ends) - 1, dense.shape[1]), dense.dtype)
     full = np.flatnonzero(np.diff(ends))
     firsts = ends[full]
     a = 0
@@ -161,16 +161,16 @@ def fit(terms: Terms, labels: np.ndarray) -> Model:
     weights = rarity(np.bincount(terms.buckets, minlength=BUCKETS))
     extra_weights = rarity(np.count_nonzero(terms.extra, axis=0))
     extra_weights[_N * _N :] *= 2.0
-    values, extra = np.sqrt(terms.shares) * weights[terms.buckets], np.sqrt(terms.extra) * extra_weights
+    values, extra = ((np.sqrt(x) * w).astype(np.float32) for x, w in ((terms.shares, weights[terms.buckets]), (terms.extra, extra_weights)))
     by = np.argsort(terms.buckets, kind="stable")
     owners = np.repeat(np.arange(n), np.diff(terms.ends))[by]
     column_ends = np.concatenate([[0], np.cumsum(np.bincount(terms.buckets, minlength=BUCKETS))])
-    q = np.linalg.qr(np.random.default_rng(5).standard_normal((BUCKETS + EXTRA, RANK + 8)))[0]
-    for _ in range(5):
+    q = np.linalg.qr(np.random.default_rng(5).standard_normal((BUCKETS + EXTRA, RANK + 8), np.float32))[0]
+    for _ in range(3):
         y = _times(terms.ends, terms.buckets, values, q[:BUCKETS]) + extra @ q[BUCKETS:]
         q = np.linalg.qr(np.concatenate([_times(column_ends, owners, values[by], y), extra.T @ y]))[0]
     y = _times(terms.ends, terms.buckets, values, q[:BUCKETS]) + extra @ q[BUCKETS:]
-    basis = q @ np.linalg.svd(y, full_matrices=False)[2][:RANK].T
+    basis = (q @ np.linalg.svd(y, full_matrices=False)[2][:RANK].T).astype(np.float64)
     if basis.shape[1] < RANK:
         basis = np.concatenate([basis, np.zeros((len(basis), RANK - basis.shape[1]))], axis=1)
     model = Model(weights, extra_weights, basis, np.zeros((0, RANK)), labels, float(labels.mean()))
