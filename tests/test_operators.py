@@ -65,6 +65,15 @@ def test_text_sources_round_trip(spark, tmp_path):
     assert connectors.read_any(spark, str(tmp_path / "out")).filter("kind = 'txt' and text is not null").count() == 2
 
 
+def test_written_index_is_read_by_provider(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"p{i % 3}", 6) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    connectors.write_index(index.described(docs), str(tmp_path / "index"))
+    back = spark.read.parquet(str(tmp_path / "index"))
+    one = back.filter("provider = 'p1'")
+    assert sorted(r["external_id"] for r in one.collect()) == ["1", "10", "4", "7"] and back.count() == 12
+    assert "PartitionFilters: [isnotnull(provider" in one._jdf.queryExecution().explainString(one._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_json_descriptions(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"provider": "dhs", "external_id": "017332", "lang": "fr"}\n')
     assert connectors.read_descriptions(spark, str(tmp_path)).first()["external_id"] == "017332"
