@@ -29,15 +29,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charta.llm.components import components
 from charta.llm.wordhash import mix, portions, shingle_sets
 from charta.llm.workdir import written
 
-#: Least m; fingerprints in a bucket, shingles in a block of trees, sets in a leaf. None limits what is found.
-MARGIN, BUCKET, BLOCK, LEAF = 16, 250_000, 1 << 20, 48
+#: Least m; fingerprints in a bucket, shingles in a block of trees, as how many shingles each set counts besides its own, sets in a leaf. None limits what is found.
+MARGIN, BUCKET, BLOCK, PER_SET, LEAF = 16, 250_000, 1 << 18, 512, 48
 #: Tables of up to so many narrow rows (40 bytes or less) are broadcast, counted first; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _WIDE = np.uint64((1 << 40) - 1)
@@ -393,15 +393,20 @@ def _dealt(rows: DataFrame, total: int) -> DataFrame:
     return found.repartition("base").sortWithinPartitions("base")
 
 
+def _weight() -> Column:
+    """What the sets of a list take of a block."""
+    return F.sum(F.col("n") + PER_SET)
+
+
 def _pairs_of_blocks(chosen: DataFrame) -> DataFrame:
     """``chosen`` (s1, s2, row, n, label, total) dealt to (bi, bj, side).
 
-    A list of up to BLOCK shingles in total is one block. In a longer one the rows of its largest label
+    A list that weighs up to BLOCK is one block. In a longer one the rows of its largest label
     have blocks of their own, below 0, which never meet each other; all other pairs of blocks meet.
     """
     key = ["s1", "s2"]
     long = chosen.filter(F.col("total") > BLOCK)
-    of = long.groupBy(*key, "label").agg(F.sum("n").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("most"))
+    of = long.groupBy(*key, "label").agg(_weight().alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("most"))
     of = _near(of.select(*key, F.col("most.label").alias("main"), "most.m"), "main_labels")
     blocks = lambda x: F.greatest(F.lit(1), F.ceil(x / BLOCK)).cast("int")
     rows = long.join(of, key).withColumns({"own": F.col("label") == F.col("main"), "mb": blocks(F.col("m")), "ob": blocks(F.col("total") - F.col("m"))})
@@ -422,14 +427,14 @@ def _links(sets: DataFrame, dealt: DataFrame, key: list[str], percent: int) -> D
 
 
 def _first_links(sets: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): trees over the longest list of each row, in blocks of about BLOCK shingles.
+    """(links, labels): trees over the longest list of each row, in blocks that weigh about BLOCK.
 
     labels (row, label): rows that links connect to another; label is the smallest row reached. A list
     of several blocks is dealt once more, in another way, so that its blocks connect.
     """
     key = ["s1", "s2"]
     home = written(lists.groupBy("row").agg(F.max(F.struct("c", *key)).alias("h"), F.first("n").alias("n")).select("row", "n", "h.s1", "h.s2"), "homes")
-    sizes = _near(home.groupBy(*key).agg(F.sum("n").alias("total"), F.count("*").alias("c")).filter("c > 1").select(*key, F.ceil(F.col("total") / BLOCK).alias("blocks")), "home_sizes")
+    sizes = _near(home.groupBy(*key).agg(_weight().alias("total"), F.count("*").alias("c")).filter("c > 1").select(*key, F.ceil(F.col("total") / BLOCK).alias("blocks")), "home_sizes")
     home = written(home.join(sizes, key).select("row", *key, "blocks"), "homes")
 
     def trees(of: DataFrame, seed: int) -> DataFrame:
@@ -457,7 +462,7 @@ def _second_links(sets: DataFrame, lists: DataFrame, labels: DataFrame, percent:
     mixed = rows.select(*key, "label").distinct().groupBy(*key).agg(one(1).alias("l1"), one(2).alias("l2"), F.count("*").alias("c")).filter("c > 1").drop("c")
     chosen = rows.join(_near(mixed, "mixed"), key).select(F.col("l1").alias("s1"), F.col("l2").alias("s2"), "row", "n", "label").distinct()
     chosen = written(chosen, "chosen")
-    totals = _near(chosen.groupBy(*key).agg(F.sum("n").alias("total")), "totals")
+    totals = _near(chosen.groupBy(*key).agg(_weight().alias("total")), "totals")
     return _links(sets, _pairs_of_blocks(chosen.join(totals, key)).select(*key, "bi", "bj", "side", "row", "label"), [*key, "bi", "bj"], percent)
 
 

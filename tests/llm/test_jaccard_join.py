@@ -47,10 +47,10 @@ def corpus(n, seed):
 
 
 # every constant shrunk: several buckets, blocks of first trees, pairs of blocks, leaves, joins by shuffle
-SMALL = {"MARGIN": 2, "BUCKET": 500, "BLOCK": 400, "LEAF": 3, "BROADCAST_ROWS": 0}
+SMALL = {"MARGIN": 2, "BUCKET": 500, "BLOCK": 400, "PER_SET": 8, "LEAF": 3, "BROADCAST_ROWS": 0}
 
 
-@pytest.mark.parametrize("k, percent, constants", [(4, 85, {}), (4, 85, {"BLOCK": 400}), (3, 80, SMALL)])
+@pytest.mark.parametrize("k, percent, constants", [(4, 85, {}), (4, 85, {"BLOCK": 400, "PER_SET": 0}), (3, 80, SMALL)])
 def test_equals_brute_force(docs_of, monkeypatch, k, percent, constants):
     for name, value in constants.items():
         monkeypatch.setattr(J, name, value)
@@ -63,14 +63,14 @@ def test_equals_brute_force(docs_of, monkeypatch, k, percent, constants):
 
 def test_second_trees_alone_find_all_links(docs_of, monkeypatch):
     """Without the first trees every link comes from the lists, long ones as pairs of blocks."""
-    monkeypatch.setattr(J, "BLOCK", 500)
+    monkeypatch.setattr(J, "BLOCK", 2000)
     monkeypatch.setattr(J, "_first_links", lambda sets, lists, percent: (sets.selectExpr("row a", "row b", "n shared", "n united").limit(0), sets.selectExpr("row", "row label").limit(0)))
     rows = corpus(100, 9)
     assert sorted((tuple(r) for r in J.similar(docs_of([(i, t, "s") for i, t in rows]), 4, 85)[0].collect()), key=str) == brute(rows, 4, 85)
 
 
 def test_a_hot_group_of_near_copies_is_one_component(docs_of, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 3000)
+    monkeypatch.setattr(J, "BLOCK", 12_000)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(w if j != i % 97 else f"x{i}" for j, w in enumerate(base))) for i in range(150)] + [(200 + i, " ".join(f"v{rng.randrange(9**9)}" for _ in range(50))) for i in range(60)]
