@@ -16,8 +16,8 @@ of at least the threshold can be found, none is missed:
    small, then pairs of sets by the same bound; a pair that is left, and that no link connects yet, is
    compared in full there. So a tree gives links that connect what it can connect, not all pairs.
    First each set meets its longest list, in blocks of bounded size. Then all lists whose members
-   are not connected yet are traversed, those of equal components as one, long ones as pairs of
-   blocks; blocks of what is connected already do not meet.
+   are not connected yet are traversed, those of equal components as one, long ones by size class and
+   as pairs of blocks; blocks of what is connected already do not meet.
 5. Links are joined to components.
 """
 
@@ -37,7 +37,7 @@ from charta.llm.wordhash import mix, portions, shingle_sets
 from charta.llm.workdir import written
 
 #: Least m; fingerprints in a bucket, shingles in a block of trees, as how many shingles each set counts besides its own, sets in a leaf. None limits what is found.
-MARGIN, BUCKET, BLOCK, PER_SET, LEAF = 16, 250_000, 1 << 18, 512, 48
+MARGIN, BUCKET, BLOCK, PER_SET, LEAF = 16, 250_000, 1 << 18, 1024, 48
 #: Tables of up to so many narrow rows (40 bytes or less) are broadcast, counted first; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _WIDE = np.uint64((1 << 40) - 1)
@@ -69,8 +69,12 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     """Sets of sizes that allow a link are in the same class or in neighbouring ones."""
-    width = max(-math.log(percent / 100.0), 1e-6) * (1 + 1e-9)
-    return np.floor(np.log(n) / width).astype(np.int64)
+    return np.floor(np.log(n) / _width(percent)).astype(np.int64)
+
+
+def _width(percent: int) -> float:
+    """By how much the logarithms of the sizes of linked sets differ at most, and a little more."""
+    return max(-math.log(percent / 100.0), 1e-6) * (1 + 1e-9)
 
 
 class SignatureTree:
@@ -461,9 +465,21 @@ def _second_links(sets: DataFrame, lists: DataFrame, labels: DataFrame, percent:
     one = lambda seed: F.bit_xor(F.xxhash64("label", F.lit(seed)))
     mixed = rows.select(*key, "label").distinct().groupBy(*key).agg(one(1).alias("l1"), one(2).alias("l2"), F.count("*").alias("c")).filter("c > 1").drop("c")
     chosen = rows.join(_near(mixed, "mixed"), key).select(F.col("l1").alias("s1"), F.col("l2").alias("s2"), "row", "n", "label").distinct()
-    chosen = written(chosen, "chosen")
-    totals = _near(chosen.groupBy(*key).agg(_weight().alias("total")), "totals")
-    return _links(sets, _pairs_of_blocks(chosen.join(totals, key)).select(*key, "bi", "bj", "side", "row", "label"), [*key, "bi", "bj"], percent)
+    chosen = _weighed(written(chosen, "chosen"))
+    # a long list parts into those of neighbouring size classes, which have all its links
+    sk = F.explode(F.array("k", F.col("k") + 1)).alias("sk")
+    parted = chosen.filter(F.col("total") > BLOCK).select(*key, "row", "n", "label", F.floor(F.log("n") / _width(percent)).cast("int").alias("k")).select("*", sk)
+    parted = parted.select(*[F.xxhash64(c, "sk").alias(c) for c in key], "row", "n", "label")
+    parted = _weighed(written(parted, "parted"))
+    dealt = chosen.filter(F.col("total") <= BLOCK).unionByName(parted)
+    return _links(sets, _pairs_of_blocks(dealt).select(*key, "bi", "bj", "side", "row", "label"), [*key, "bi", "bj"], percent)
+
+
+def _weighed(lists: DataFrame) -> DataFrame:
+    """``lists`` (s1, s2, row, n, label), those that have several labels, with what they weigh as ``total``."""
+    key = ["s1", "s2"]
+    totals = lists.groupBy(*key).agg(_weight().alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*key, "total")
+    return lists.join(_near(totals, "totals"), key)
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
