@@ -39,7 +39,7 @@ from charta.llm.workdir import written
 #: Least m; fingerprints in a bucket, shingles in a block of trees, as how many shingles each set counts besides its own, sets in a leaf. None limits what is found.
 MARGIN, BUCKET, BLOCK, PER_SET, LEAF = 16, 250_000, 1 << 18, 1024, 48
 #: Tables of up to so many narrow rows (40 bytes or less) are broadcast, counted first; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 _WIDE = np.uint64((1 << 40) - 1)
 
 
