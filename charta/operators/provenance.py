@@ -11,6 +11,8 @@ from charta.sources.workdir import written
 
 #: Item keys up to this number, items up to this many characters and pairs of document and item up to this number are broadcast; more are joined by shuffle.
 KEYS, CHARS, PAIRS = 1_000_000, 16_000_000, 100_000
+#: Units of a window that are hashed one by one; longer windows are sliced.
+WIDE = 16
 
 
 def cited(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,7 +34,9 @@ def cited(docs: DataFrame, items: DataFrame) -> DataFrame:
         return docs.join(items.filter(F.lit(False)).select("item_id"), F.lit(False)).select("item_id", "doc_id", F.lit(1).alias("line_no"))
 
     def windows(units: str, size: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(units) - size + 1), lambda i: F.xxhash64(F.slice(units, i, F.lit(size))))
+        # the hash of some values is that of an array of them
+        own = (lambda i: F.xxhash64(*[F.get(units, i + d) for d in range(size)])) if size <= WIDE else (lambda i: F.xxhash64(F.slice(units, i + 1, F.lit(size))))
+        each = F.transform(F.sequence(F.lit(0), F.size(units) - size), own)
         return F.when(F.size(units) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
     split = {"w": F.split("text", r"\s+", -1)} | ({} if all(s["inner"] for s in shapes) else {"c": F.split("text", "", -1)})

@@ -13,7 +13,7 @@ from charta.functions import text as T
 from charta.operators import entities, index, lexical, provenance, quant, retrieve
 from charta.plans.fixtures import COSTS, PDF_LINES, PDF_TITLES, PERSONS, table, values
 from charta.sources import connectors, containers, fetch, pdf, registry, run
-from charta.sources.tables import ENTITIES, counted, created, described, emptied, load
+from charta.sources.tables import ENTITIES, administered, load
 from charta.sources.workdir import fresh_path
 from charta.streaming import windows
 
@@ -240,8 +240,7 @@ _ENTITY_ROWS = [(name, i, c.split(" ")[0], c.split(" ")[1]) for name, columns in
 @_query(f"WITH {values('e', _ENTITY_ROWS, 'table_name, position, column_name, data_type')} SELECT table_name, position, column_name, replace(data_type, ';', ',') AS data_type FROM e")
 def db_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"charta_{uuid.uuid4().hex}"
-    created(spark, name, fresh_path(spark, "database"))
-    out = described(spark, name)
+    out = administered(spark, name, ["init"], fresh_path(spark, "database"))
     spark.sql(f"DROP DATABASE {name} CASCADE")
     return out
 
@@ -249,15 +248,14 @@ def db_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT 'before' AS moment, 'source' AS name, count(*) AS n FROM documents UNION ALL SELECT 'after', 'source', count(*) FROM documents UNION ALL SELECT moment, name, n FROM (VALUES ('before', 'mention', 2), ('after', 'mention', 0)) t(moment, name, n)")
 def db_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"charta_{uuid.uuid4().hex}"
-    created(spark, name, fresh_path(spark, "database"))
+    administered(spark, name, ["init"], fresh_path(spark, "database"))
     try:
         described_ = index.described(load(spark, sf_dir, "documents"))
         spark.createDataFrame([("s1", 1, "A B", "person", "en"), ("s1", 2, "C D", None, "en")], ENTITIES["mention"]).write.insertInto(f"{name}.mention")
         columns = [c.split(" ")[0] for c in ENTITIES["source"].split(", ")]
         described_.select(*[(F.col(c) if c in described_.columns else F.lit(None)).alias(c) for c in columns]).write.insertInto(f"{name}.source")
-        rows = [("before", r["name"], r["n"]) for r in counted(spark, name).collect()]
-        emptied(spark, name, ("mention",))
-        rows += [("after", r["name"], r["n"]) for r in counted(spark, name).collect()]
+        rows = [("before", r["name"], r["n"]) for r in administered(spark, name, ["stats"]).collect()]
+        rows += [("after", r["name"], r["n"]) for r in administered(spark, name, ["reset", "mention"]).collect()]
     finally:
         spark.sql(f"DROP DATABASE {name} CASCADE")
     return spark.createDataFrame([r for r in rows if r[1] in ("source", "mention")], "moment string, name string, n long")

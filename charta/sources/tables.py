@@ -57,6 +57,26 @@ def counted(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(" UNION ALL ".join(sorted(each)))
 
 
+#: Tables that are made from others, which a reset empties.
+DERIVED = ("mention",)
+
+
+def administered(spark: SparkSession, database: str, arguments: list[str], location: str = "") -> DataFrame:
+    """One command of the database, as its wrapper hands it on: ``init`` (tables created; their columns), ``stats`` (rows of each table), ``reset`` (derived tables, or those named after it, emptied; rows of each)."""
+    verb, names = (arguments[0], arguments[1:]) if arguments else ("", [])
+    if verb == "init":
+        created(spark, database, location)
+        return described(spark, database)
+    if verb == "reset":
+        wrong = [n for n in names if n not in ENTITIES]
+        if wrong:
+            raise ValueError(f"no such table: {', '.join(wrong)}")
+        emptied(spark, database, tuple(names) or DERIVED)
+    elif verb != "stats":
+        raise ValueError(f"unknown command {verb!r}; there are init, reset, stats")
+    return counted(spark, database)
+
+
 def described(spark: SparkSession, database: str) -> DataFrame:
     """(table_name, position, column_name, data_type) of a database."""
     rows = [(t.name, i, c.name, c.dataType) for t in spark.catalog.listTables(database) if not t.isTemporary for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"))]

@@ -74,6 +74,24 @@ def test_written_index_is_read_by_provider(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(provider" in one._jdf.queryExecution().explainString(one._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def test_database_commands(spark, tmp_path):
+    from charta.sources.tables import administered
+
+    try:
+        assert administered(spark, "charta_t", ["init"], str(tmp_path / "db")).filter("table_name = 'claim'").count() == 6
+        assert administered(spark, "charta_t", ["init"], str(tmp_path / "db")).count() == 32
+        spark.sql("INSERT INTO charta_t.mention VALUES ('s', 1, 'A', null, null)")
+        spark.sql("INSERT INTO charta_t.passage VALUES ('s', 1, 1, 't')")
+        stats = lambda *args: {r["name"]: r["n"] for r in administered(spark, "charta_t", list(args)).collect()}
+        assert stats("stats")["mention"] == 1 and stats("reset") == {**stats("stats"), "mention": 0, "passage": 1}
+        assert stats("reset", "passage")["passage"] == 0
+        for wrong in ([], ["drop"], ["reset", "nosuch"]):
+            with pytest.raises(ValueError):
+                administered(spark, "charta_t", wrong)
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS charta_t CASCADE")
+
+
 def test_json_descriptions(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"provider": "dhs", "external_id": "017332", "lang": "fr"}\n')
     assert connectors.read_descriptions(spark, str(tmp_path)).first()["external_id"] == "017332"
