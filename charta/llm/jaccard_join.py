@@ -425,8 +425,8 @@ def _pairs_of_blocks(chosen: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, dealt: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """What the trees of all blocks find; ``dealt`` (key, side, row, label)."""
-    rows = _near(dealt, "dealt").join(sets, "row").select(*key, "side", "row", "label", "grams")
+    """What the trees of all blocks find; ``dealt`` (key, side, row, label), which grows as the sets do."""
+    rows = written(dealt, "dealt").join(sets, "row").select(*key, "side", "row", "label", "grams")
     return written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees(percent, len(key)), _LINKS), "links")
 
 
@@ -517,7 +517,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame,
     flat = written(_dealt(sets.select("row", "n", "grams"), total).mapInArrow(_prefixes(percent), "tok long, row long, n long"), "prefixes")
     one = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
     names = flat.groupBy("tok").agg(one(1).alias("s1"), one(2).alias("s2"), F.count("*").alias("c")).filter("c > 1")
-    lists = written(flat.join(_near(names, "names"), "tok").select("s1", "s2", "c", "row", "n").distinct(), "lists")
+    lists = written(flat.join(written(names, "names"), "tok").select("s1", "s2", "c", "row", "n").distinct(), "lists")
 
     first, labels = _first_links(sets, lists, percent)
     second = _second_links(sets, lists, labels, percent).select("a", "b", "shared", "united")
